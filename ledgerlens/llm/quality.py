@@ -90,22 +90,22 @@ def _start(rows: DataFrame) -> DataFrame:
     at = lambda i, c: F.max(F.when(F.col("stat") == i, c))
     mean = [((at(i, F.col("mid")) + 0.5) * FLOORS[i] / 64).alias(f"m{i}") for i in range(P)]
     spread = [F.greatest(at(i, F.col("high") - F.col("low")) * FLOORS[i] / 64 / 1.349, F.lit(FLOORS[i])) for i in range(P)]
-    return cuts.groupBy(GROUP).agg(*mean, *((s * s).alias(f"d{i}") for i, s in enumerate(spread))).withColumns({f"l{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j})
+    return cuts.groupBy(GROUP).agg(*mean, *((s * s).alias(f"g{i}") for i, s in enumerate(spread))).withColumns({f"l{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j})
 
 
 def _factored(model: DataFrame) -> DataFrame:
-    """m0.. and c00, c10, c11..: the covariance, factored into l (unit lower triangle) and d."""
+    """m0.. and c00, c10, c11..: the covariance, factored into l (unit lower triangle) and g (diagonal)."""
     for j in range(P):
         c = F.col(f"c{j}{j}")
         for k in range(j):
-            c = c - F.col(f"l{j}{k}") * F.col(f"l{j}{k}") * F.col(f"d{k}")
-        model = model.withColumn(f"d{j}", F.greatest(c, F.lit(FLOORS[j] ** 2 / 100)))
+            c = c - F.col(f"l{j}{k}") * F.col(f"l{j}{k}") * F.col(f"g{k}")
+        model = model.withColumn(f"g{j}", F.greatest(c, F.lit(FLOORS[j] ** 2 / 100)))
         for i in range(j + 1, P):
             c = F.col(f"c{i}{j}")
             for k in range(j):
-                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}") * F.col(f"d{k}")
-            model = model.withColumn(f"l{i}{j}", c / F.col(f"d{j}"))
-    return model.select(GROUP, *(f"m{i}" for i in range(P)), *(f"d{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS if i != j))
+                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}") * F.col(f"g{k}")
+            model = model.withColumn(f"l{i}{j}", c / F.col(f"g{j}"))
+    return model.select(GROUP, *(f"m{i}" for i in range(P)), *(f"g{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS if i != j))
 
 
 def _distance(rows: DataFrame, model: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def _distance(rows: DataFrame, model: DataFrame) -> DataFrame:
         for k in range(i):
             y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
         r = r.withColumn(f"y{i}", y)
-        total = total + F.col(f"y{i}") * F.col(f"y{i}") / F.col(f"d{i}")
+        total = total + F.col(f"y{i}") * F.col(f"y{i}") / F.col(f"g{i}")
     return r.withColumn("d2", total).drop(*(f"y{i}" for i in range(P)), *(c for c in model.columns if c != GROUP))
 
 
