@@ -94,3 +94,8 @@ def words(text: Column | str) -> Column:
 def n_words(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def bound(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with columns that are computed once a row: later filters and projections neither move below them nor repeat them."""
+    return df.select(*df.columns, F.inline(F.array(F.struct(*(c.alias(k) for k, c in cols.items())))))

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, linededup, mixing, packing, quality, simhash
+from . import bpe, chat, embeddings, licenses, linededup, mixing, packing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         embeddings.op1_embedding_near_dedup,
         bpe.op2_token_counts,
+        licenses.op3_license_scan,
         chat.op4_chat_format,
         quality.op5_quality_rules,
         packing.op7_best_fit_packing,
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.OP4_SQL, "op8_line_dedup": linededup.OP8_SQL, "op9_mix_sources": mixing.OP9_SQL}
+    return {"op3_license_scan": licenses.OP3_SQL, "op4_chat_format": chat.OP4_SQL, "op8_line_dedup": linededup.OP8_SQL, "op9_mix_sources": mixing.OP9_SQL}
