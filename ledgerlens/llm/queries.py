@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, licenses, linededup, mixing, packing, quality, simhash
+from . import bpe, chat, embeddings, html, licenses, linededup, mixing, packing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         licenses.op3_license_scan,
         chat.op4_chat_format,
         quality.op5_quality_rules,
+        html.op6_html_extraction,
         packing.op7_best_fit_packing,
         linededup.op8_line_dedup,
         mixing.op9_mix_sources,
