@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
-import shutil
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import bound
+from ..functions.deploy import ship
+
+__all__ = ["bound", "discard", "n_words", "shared_dir", "ship", "staged", "table", "words"]
+
 #: Words are runs of characters other than the six ASCII white space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-_shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
@@ -27,23 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors' Python workers, once an application: Spark serves the archive to each of them."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{os.path.basename(top)}.zip")  # the driver serves it for as long as it runs
-    atexit.register(shutil.rmtree, os.path.dirname(archive), ignore_errors=True)
-    with zipfile.ZipFile(archive, "w") as z:
-        for at, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    z.write(path := os.path.join(at, name), os.path.relpath(path, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary
     folder in local mode and a folder of the warehouse elsewhere."""
@@ -95,7 +79,3 @@ def n_words(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
-
-def bound(df: DataFrame, **cols: Column) -> DataFrame:
-    """df with columns that are computed once a row: later filters and projections neither move below them nor repeat them."""
-    return df.select(*df.columns, F.inline(F.array(F.struct(*(c.alias(k) for k, c in cols.items())))))
