@@ -264,6 +264,8 @@ def entropy_weights(df: DataFrame, treatment: str, xs: Sequence[str], into: str
     def dual(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         w = F.exp(score(at))
         r = controls.agg(F.sum(w).alias("w"), *(F.sum(w * z[i]).alias(f"g{i}") for i in range(k)), *(F.sum(w * z[i] * z[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1))).first()
+        if not 0 < (r["w"] or 0.0) < math.inf:
+            return math.inf, np.zeros(k), np.eye(k)
         g = np.array([r[f"g{i}"] for i in range(k)]) / r["w"]
         h = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) / r["w"]
         return math.log(r["w"]), g, h - np.outer(g, g)
@@ -274,15 +276,13 @@ def entropy_weights(df: DataFrame, treatment: str, xs: Sequence[str], into: str
         if np.abs(g).max() < close:
             break
         step, size = np.linalg.pinv(h, hermitian=True) @ g, 1.0
-        while size > 1e-6:
-            new = dual(at - size * step)
-            if new[0] <= value:
-                break
+        while (new := dual(at - size * step))[0] > value and size > 1e-6:
             size /= 2
+        if new[0] > value:
+            break
         at, (value, g, h) = at - size * step, new
-    else:
-        if np.abs(g).max() > 1e-4:
-            raise ValueError("entropy_weights: the controls can't be brought to the means of the treated")
+    if np.abs(g).max() > 1e-4:
+        raise ValueError("entropy_weights: the controls can't be brought to the means of the treated")
     scale = row["n"] / math.exp(value)
     return own.withColumn(into, F.when(F.col(treatment) == 1, F.lit(1.0)).otherwise(F.exp(score(at)) * F.lit(scale)))
 

@@ -34,7 +34,11 @@ def ending(files: DataFrame, end: str) -> DataFrame:
 def one_level(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
     """Files of any case of the suffix in the folders right below root: neither root's own nor deeper ones."""
     glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
-    return _binary(spark, f"{root.rstrip('/')}/*/*", glob, False).select("path", file_name(F.col("path")).alias("file_name"), "length")
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    depth = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).depth() + 2
+    own = _binary(spark, f"{root.rstrip('/')}/*/*", glob, False)
+    below = F.size(F.split(F.regexp_replace("path", "^[a-z0-9+.-]+:/*", ""), "/"))  # scheme and host aside
+    return own.filter(below <= depth).select("path", file_name(F.col("path")).alias("file_name"), "length")
 
 
 def _decoded(errors: str, encodings: tuple[str, ...]) -> Callable[[Column], Column]:
