@@ -15,6 +15,7 @@ single task.
 from __future__ import annotations
 
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,42 +26,73 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary
+from .bpe import byte_symbols, vocabulary
 from .common import ship, staged, table
 
 CAPACITY, CLOSE = 4096, 1
-#: Words whose ids a worker keeps; then it starts anew.
-KEPT = 500_000
-#: Texts that are split into words at a time.
-TEXTS = 256
+#: Pre-tokens whose ids a worker keeps, and the longest that it keeps.
+KEPT, LONG = 1_000_000, 64
+#: Texts that are the same in all normal forms, and the vocabulary's pre-tokens in them once they are lowered.
+LATIN = re.compile("[\x09-\x0d\x20-\x7eÀ-ÿ]*")
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0d\x20a-zß-öø-ÿ0-9]+")
+SPACES = re.compile(r"[\x09-\x0d\x20]+")
 Bin = tuple[tuple[int, ...], int]
 
 
+class Kept:
+    """Values of the strings used last: what is not asked for while `most` / 2 others come in is forgotten."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def put(self, key, value):
+        if len(key) <= LONG:
+            if len(self.new) >= self.half:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
+        return value
+
+
 class Ids:
-    """Token ids of texts, by the library, word by word: its pre-tokens never reach over white space.
+    """Token ids of texts, by the library, as little-endian bytes.
 
-    A word's ids are kept as little-endian bytes; a text's are the join of its words'.
+    Texts of ASCII and Latin letters, which no normal form changes, are lowered and cut into pre-tokens here, and the library's model gives
+    the ids of those that aren't known. All others, and those that may hold a special string, are cut at white space, which no pre-token
+    reaches over, and their words go through the whole library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]  # at the six ASCII spaces
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known = self.known
-        new = [*{w for words in split for w in words} - known.keys()]
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            known.update(zip(part, self.encode([w.decode() for w in part]), strict=True))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        self.model = self.tokenizer.model
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        self.pieces, self.words = Kept(KEPT), Kept(KEPT // 4)
+        self.symbols = {b: ord(c) for b, c in enumerate(byte_symbols())}
+
+    def piece(self, p: str) -> bytes:
+        if (own := self.pieces.old.get(p)) is None:
+            t = [t.id for t in self.model.tokenize(p.encode().decode("latin1").translate(self.symbols))]
+            own = struct.pack(f"<{len(t)}I", *t)
+        return self.pieces.put(p, own)
+
+    def word(self, w: str) -> bytes:
+        if (own := self.words.old.get(w)) is None:
+            e = self.tokenizer.encode(w, add_special_tokens=False).ids
+            own = struct.pack(f"<{len(e)}I", *e)
+        return self.words.put(w, own)
+
+    def of(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if LATIN.fullmatch(text) and not self.special.search(text):
+            own, kept, new = PRETOKEN.findall(text.lower()), self.pieces, self.piece
+        else:
+            own, kept, new = [w for w in SPACES.split(text) if w], self.words, self.word
+        found = list(map(kept.new.get, own))
+        if None in found:
+            found = [new(w) if f is None else f for w, f in zip(own, found, strict=True)]
+        return b"".join(found)
 
 
 @lru_cache(2)
@@ -77,13 +109,11 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None =
         of = ids(path or vocabulary(name)).of
         for batch in batches:
             rows = []
-            for some in range(0, len(batch), TEXTS):
-                part = batch.iloc[some : some + TEXTS]
-                for doc, all_ids in zip(part["doc_id"], of(part["text"].tolist()), strict=True):
-                    all_ids += close
-                    for k, at in enumerate(range(0, len(all_ids), 4 * capacity)):
-                        own = all_ids[at : at + 4 * capacity]
-                        rows.append((None if doc is None else int(doc), k, k * capacity, len(own) // 4, zlib.crc32(own), *([own] * with_ids)))
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                all_ids = of(text) + close
+                for k, at in enumerate(range(0, len(all_ids), 4 * capacity)):
+                    own = all_ids[at : at + 4 * capacity]
+                    rows.append((None if doc is None else int(doc), k, k * capacity, len(own) // 4, zlib.crc32(own), *([own] * with_ids)))
             yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=kind) for i, (c, kind) in enumerate([("doc_id", "Int64"), ("piece", "int32"), ("start", "int64"), ("length", "int64"), ("ids_crc32", "int64"), *([("ids", "object")] * with_ids)])})
 
     # as text, a null doc_id doesn't turn the others into floating-point numbers
