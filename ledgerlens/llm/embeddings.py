@@ -2,8 +2,9 @@
 
 Every vector is described by its `NEAREST` nearest reference points, in order, out of `PIVOTS` (random directions of a fixed seed: none depends on a
 sample of the data). An inverted list holds the vectors of one label and dimension that have a given set of `SHARED` pivots among their nearest, so two vectors
-meet in a list just when they share that many. In a list, shared pivots are counted and cosines computed in double precision, matrix
-by matrix; a pair counts in the first list it shares alone. Lists over `BLOCK` vectors are dealt out as pairs of blocks, whatever their length.
+meet in a list just when they share that many: of pairs with a cosine of just `COSINE`, over 0.9999 do. In a list, shared pivots are counted and cosines
+computed in double precision; a pair counts in the first list it shares alone, and vectors whose pivots up to the list's last one agree beyond the
+list's own aren't compared there. Lists over `BLOCK` vectors are dealt out as pairs of blocks, whatever their length.
 
 Vectors that are equal are one class, with its number of rows, before anything else; classes are linked, and rows are
 counted from the classes. A list gives back, for each class, its number of links and its component's first class in that list:
@@ -24,7 +25,9 @@ from .common import ship, staged, table
 from .components import components
 
 COSINE = 0.98
-PIVOTS, NEAREST, SHARED, BLOCK, SEED = 256, 8, 3, 512, 11
+PIVOTS, NEAREST, SHARED, BLOCK, SEED = 1024, 10, 3, 512, 11
+#: Lists of this many vectors or fewer are compared many lists at a time.
+SMALL = 16
 SETS = np.array(list(combinations(range(NEAREST), SHARED)))
 
 
@@ -41,7 +44,9 @@ def unit(vectors: list) -> np.ndarray:
 
 def nearest(x: np.ndarray) -> np.ndarray:
     """The nearest pivots of unit vectors, nearest first."""
-    return np.argsort(-(x @ pivots(x.shape[1]).T), axis=1, kind="stable")[:, :NEAREST]
+    far = -(x @ pivots(x.shape[1]).T)
+    some = np.sort(np.argpartition(far, NEAREST - 1, axis=1)[:, :NEAREST], axis=1)
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), axis=1, kind="stable"), 1)
 
 
 def list_keys(near: np.ndarray) -> np.ndarray:
@@ -56,51 +61,101 @@ def usable(v: Column) -> Column:
     return F.coalesce(whole & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _matches(key: int, block: tuple[int, int], ids: np.ndarray, n: np.ndarray, own_block: np.ndarray, x: np.ndarray, near: np.ndarray, threshold: float) -> pd.DataFrame | None:
-    """Links that count in one list (or pair of its blocks): id, links, least."""
-    has = np.zeros((len(ids), PIVOTS), np.float32)
-    np.put_along_axis(has, near, 1, axis=1)
-    last = key % PIVOTS
-    low = has[:, : last + 1]
-    # the list's pivots are the first ones that the two share: then no pair counts in two lists
-    linked = (x @ x.T >= threshold) & (low @ low.T == SHARED)
-    if block[0] != block[1]:
-        linked &= own_block[:, None] != own_block[None, :]
-    np.fill_diagonal(linked, False)
-    if not linked.any():
-        return None
+def _first_shared(a: np.ndarray, b: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For pairs of rows of pivots: are the ones they share, up to `last`, just SHARED? Then no pair counts in two lists."""
+    return ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] <= last[:, None, None])).sum((1, 2)) == SHARED
+
+
+def _closed(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least id that each row reaches."""
     least = ids.copy()
     while True:
         new = np.minimum(least, np.where(linked, least[None, :], np.iinfo(np.int64).max).min(1))
         if (new == least).all():
-            break
+            return least
         least = new
-    some = linked.any(1)
-    return pd.DataFrame({"id": ids[some], "links": linked[some] @ n, "least": least[some]})
+
+
+def _matches(key: int, split: bool, ids: np.ndarray, n: np.ndarray, own_block: np.ndarray, x: np.ndarray, near: np.ndarray, threshold: float) -> pd.DataFrame | None:
+    """Links that count in one list (or pair of its blocks): id, links, least."""
+    last = key % PIVOTS
+    low = np.sort(np.where(near <= last, near, PIVOTS), axis=1)
+    kinds, of = np.unique(low, axis=0, return_inverse=True)
+    has = np.zeros((len(kinds), PIVOTS + 1), np.float32)
+    np.put_along_axis(has, kinds, 1, axis=1)
+    fits = has[:, :PIVOTS] @ has[:, :PIVOTS].T == SHARED
+    linked = np.zeros((len(ids), len(ids)), bool)
+    of = of.ravel()
+    for k in range(len(kinds)):
+        if fits[k].any():
+            i, j = np.flatnonzero(of == k), np.flatnonzero(fits[k][of])
+            linked[np.ix_(i, j)] = x[i] @ x[j].T >= threshold
+    if split:
+        linked &= own_block[:, None] != own_block[None, :]
+    np.fill_diagonal(linked, False)
+    some = np.flatnonzero(linked.any(1))
+    if not len(some):
+        return None
+    linked = linked[np.ix_(some, some)]
+    return pd.DataFrame({"id": ids[some], "links": linked @ n[some], "least": _closed(linked, ids[some])})
+
+
+def _small(starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, split: np.ndarray, ids: np.ndarray, n: np.ndarray, own_block: np.ndarray, x: np.ndarray, near: np.ndarray, threshold: float) -> pd.DataFrame | None:
+    """The same for many short lists at once, as one row for each end of a link."""
+    left, right, which = [], [], []
+    for m in np.unique(sizes):
+        a, b = np.triu_indices(m, 1)
+        at = np.flatnonzero(sizes == m)
+        left.append((starts[at][:, None] + a).ravel())
+        right.append((starts[at][:, None] + b).ravel())
+        which.append(np.repeat(at, len(a)))
+    i, j, w = map(np.concatenate, (left, right, which))
+    hit = (x[i] * x[j]).sum(1) >= threshold
+    i, j, w = i[hit], j[hit], w[hit]
+    hit = _first_shared(near[i], near[j], keys[w] % PIVOTS) & (ids[i] != ids[j]) & (~split[w] | (own_block[i] != own_block[j]))
+    i, j = i[hit], j[hit]
+    if not len(i):
+        return None
+    u, v = np.concatenate([i, j]), np.concatenate([j, i])
+    return pd.DataFrame({"id": ids[u], "links": n[v], "least": np.minimum(ids[u], ids[v])})
 
 
 def _lists(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """batches: sorted by list and block pair. A list of 2 * BLOCK vectors or so is held at a time."""
+    """batches: sorted by list and block pair. What is held at a time is a batch and a list of 2 * BLOCK vectors or so."""
     cols, held = ["label", "dim", "key", "b0", "b1"], None
 
-    def done(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rows = rows.drop_duplicates("id")
-        if len(rows) > 1:
-            x = unit(rows["embedding"].tolist())
-            r = rows.iloc[0]
-            out = _matches(int(r["key"]), (r["b0"], r["b1"]), rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["block"].to_numpy(), x, nearest(x), threshold)
-            if out is not None:
+    def done(rows: pd.DataFrame, ends: np.ndarray) -> Iterator[pd.DataFrame]:
+        """rows: whole lists, which end at `ends`."""
+        starts = np.concatenate([[0], ends[:-1]])
+        sizes = ends - starts
+        dims = rows["dim"].to_numpy()
+        for dim in np.unique(dims):
+            lists = np.flatnonzero((dims[starts] == dim) & (sizes > 1))
+            if not len(lists):
+                continue
+            at = np.concatenate([np.arange(starts[k], ends[k]) for k in lists])
+            own, size = rows.iloc[at], sizes[lists]
+            first = np.cumsum(size) - size
+            x, near = unit(own["embedding"].tolist()), np.array(own["near"].tolist(), np.int64)
+            ids, n, block, key = (own[c].to_numpy(np.int64) for c in ("id", "n", "block", "key"))
+            split = own["b0"].to_numpy() != own["b1"].to_numpy()
+            short = size <= SMALL
+            if short.any() and (out := _small(first[short], size[short], key[first[short]], split[first[short]], ids, n, block, x, near, threshold)) is not None:
                 yield out
+            for a, m in zip(first[~short], size[~short], strict=True):
+                z = slice(a, a + m)
+                if (out := _matches(int(key[a]), bool(split[a]), ids[z], n[z], block[z], x[z], near[z], threshold)) is not None:
+                    yield out
 
     for batch in batches:
         rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
         k = rows[cols].to_numpy(np.int64)
-        at = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1), len(rows)]
-        for a, b in zip(at[:-2], at[1:-1], strict=True):
-            yield from done(rows.iloc[a:b])
-        held = rows.iloc[at[-2] :] if len(rows) else None
-    if held is not None:
-        yield from done(held)
+        ends = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+        if len(ends):
+            yield from done(rows.iloc[: ends[-1]], ends)
+        held = rows.iloc[ends[-1] if len(ends) else 0 :]
+    if held is not None and len(held):
+        yield from done(held, np.array([len(held)]))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
@@ -114,24 +169,28 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     v = vectors.select("vec_id", "label", "embedding", (usable(F.col("embedding")) & F.col("label").isNotNull()).alias("ok"))
     v = v.select("*", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
     same = v.filter("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
-    classes = staged(same.select("label", "h1", "h2", "rep", "n", "embedding", F.xxhash64("label", "h1", "h2").alias("id"), F.size("embedding").alias("dim")))
 
-    @F.pandas_udf("array<long>")
-    def keys(embedding: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<int>")
+    def pivot_order(embedding: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(embedding), dtype=object)
         for _, at in embedding.groupby(embedding.map(len)).groups.items():
-            for i, k in zip(at, list_keys(nearest(unit(embedding[at].tolist()))), strict=True):
-                out[i] = k
+            for i, near in zip(at, nearest(unit(embedding[at].tolist())), strict=True):
+                out[i] = near
         return out
 
-    keyed = staged(classes.select("id", "label", "dim", F.explode(keys("embedding")).alias("key")))
+    @F.pandas_udf("array<long>")
+    def keys(near: pd.Series) -> pd.Series:
+        return pd.Series(list(list_keys(np.array(near.tolist(), np.int64)))) if len(near) else pd.Series([], dtype=object)
+
+    classes = staged(same.select("label", "h1", "h2", "rep", "n", "embedding", F.xxhash64("label", "h1", "h2").alias("id"), F.size("embedding").alias("dim"), pivot_order("embedding").alias("near")))
+    keyed = staged(classes.select("id", "label", "dim", F.explode(keys("near")).alias("key")))
     where = ["label", "dim", "key"]
     long = keyed.groupBy(where).agg(F.count("*").alias("size")).filter("size > 1")
     listed = keyed.join(long, where).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     listed = listed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(*where, "id", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"))
-    full = dealt.join(classes.select("id", "n", "embedding"), "id")
+    full = dealt.join(classes.select("id", "n", "embedding", "near"), "id")
     group = [*where, "b0", "b1"]
     found = staged(full.repartition(*group).sortWithinPartitions(*group).mapInPandas(lambda it: _lists(it, threshold), "id long, links long, least long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
