@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import index_tokens
+from ..functions.text import index_tokens, tokens
 from ..operators import attributes, severity, tone
-from ..sources import lexicons, sinks
+from ..sources import files, lexicons, sinks
+from ..streaming import ingest
 from .inputs import ESG_WORDS, POLARITY, quoted, sql_in, sql_list, table
 
 _STOPS = sorted({*V.ENGLISH_STOPWORDS, *V.INDEX_STOPWORDS})
@@ -92,6 +95,22 @@ def _lines(spark, sf):
     return d.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("value"))
 
 
+def _without_stopwords(spark, sf):
+    """The stoplist as a relation: a broadcast anti-join, the way to go for lists that are data."""
+    words = table(spark, sf, "documents").select(F.explode(tokens(F.lower(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.join(F.broadcast(spark.createDataFrame([(w,) for w in _STOPS], "word string")), "word", "left_anti")
+
+
+def _event_windows(spark, sf):
+    """events as a stream, counted by windows of six hours until what is there has been read."""
+    name = f"event_windows_{uuid.uuid4().hex}"
+    like = table(spark, sf, "events")
+    stream = spark.readStream.schema(like.schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    by = ingest.windowed(stream, "ts", ["event_type"], F.count("*").alias("n"), F.sum("value").alias("total"), width="6 hours", late="30 days")
+    by.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 QUERIES = {
     "vocabulary": (_terms, f"WITH {_T}, {_vocabulary_sql(_MOST)} SELECT * FROM v"),
     "tfidf": (
@@ -166,4 +185,22 @@ QUERIES = {
         lambda s, d: table(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high")),
         "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY ALL",
     ),
+    "esg_terms": (
+        lambda s, d: s.createDataFrame([(t,) for t in [*V.ENVIRONMENTAL_TERMS, *V.SOCIAL_TERMS, *V.GOVERNANCE_TERMS]], "term string").distinct(),
+        " UNION ".join(f"SELECT unnest({sql_list(t)}) AS term" for t in (V.ENVIRONMENTAL_TERMS, V.SOCIAL_TERMS, V.GOVERNANCE_TERMS)),
+    ),
+    "words_without_stopwords": (_without_stopwords, f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(coalesce(text, '')), '\\s+')) AS word FROM documents) WHERE word <> '' AND word NOT IN {sql_in(_STOPS)} GROUP BY word"),
+    "unlabelled_documents": (
+        lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti"),
+        "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    ),
+    "first_unlabelled": (
+        lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti").orderBy("doc_id").limit(10),
+        "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 10",
+    ),
+    "page_texts": (
+        lambda s, d: files.whole_text(table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("page_num"), "text"), end=" "),
+        "SELECT conv_id::VARCHAR AS path, coalesce(string_agg(text || ' ', '' ORDER BY turn) FILTER (WHERE text <> ''), '') AS text FROM conversations GROUP BY conv_id",
+    ),
+    "event_windows": (_event_windows, "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts::TIMESTAMP, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -30,12 +30,18 @@ def tone_stream(texts: DataFrame, lexicon: Mapping[str, Iterable[str]], **how) -
     return tone.tone_metrics(texts, lexicon, name=N.stem(F.col("file_name")), **how)
 
 
+def windowed(stream: DataFrame, time: str, keys: list[str], *aggregates: Column, width: str = "10 minutes", slide: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Aggregates by window of event time and keys; rows later than the watermark are left out, and the state of windows past it is dropped."""
+    own = stream.withWatermark(time, late)
+    return own.groupBy(F.window(time, width, slide) if slide else F.window(time, width), *keys).agg(*aggregates)
+
+
 def windowed_counts(texts: DataFrame, words: Iterable[str], time: str = "arrived", width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """By window of time: texts, and tokens among `words`. Texts later than the watermark are left out."""
     known = F.array(*(F.lit(w) for w in sorted(set(words))))
     hits = F.size(F.filter(tone_tokens("text", ()), lambda t: F.array_contains(known, t))).cast("long")
-    own = texts.select(F.col(time).alias("at"), hits.alias("hits")).withWatermark("at", late)
-    return own.groupBy(F.window("at", width).alias("window")).agg(F.count("*").alias("texts"), F.sum("hits").alias("hits"))
+    own = texts.select(F.col(time).alias("at"), hits.alias("hits"))
+    return windowed(own, "at", [], F.count("*").alias("texts"), F.sum("hits").alias("hits"), width=width, late=late)
 
 
 def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
