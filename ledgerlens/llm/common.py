@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary
     folder in local mode and a folder of the warehouse elsewhere."""
     conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
+    if found := spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None):
         return found
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
