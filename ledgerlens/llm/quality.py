@@ -20,9 +20,10 @@ from ..functions.distributions import chi2_cdf, chi2_quantile
 from .common import SPACES, staged, table, words
 
 SHARE, STEPS, LEAST = 0.75, 3, 50
-CUTOFF = 1 - 1e-9
-#: The least standard deviation of each statistic: below it, differences don't tell good texts from bad ones.
-FLOORS = (0.5, 0.1, 0.1, 0.1, 0.1)
+CUTOFF = 1 - 1e-6
+#: The least standard deviation of each statistic: below it, differences don't tell good texts from bad ones. Prose has next to no symbols, so that
+#: a few percent of them already tell; repeated lines and words are frequent in good texts, too, and the base rules judge them by themselves.
+FLOORS = (0.5, 0.1, 0.04, 0.25, 0.25)
 P = len(FLOORS)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 SYMBOLS = "#*$%&|<>"
