@@ -72,13 +72,13 @@ types AS (SELECT doc_id, coalesce(arg_max(strong, page_num) FILTER (WHERE strong
 
 def _status(spark, sf):
     found, _ = sections.extract(_headed(spark, sf))
-    own = files(spark, sf).filter("doc_id < 100000")
+    own = files(spark, sf)
     return sections.extraction_status(own, found, N.company(F.col("file_name")), N.year(F.col("file_name")))
 
 
 _STATUS_SQL = f"""WITH {_TYPED}, {_ISLANDS},
 f AS (SELECT doc_id, file_name, regexp_replace(regexp_replace(regexp_replace(file_name, '\\.[^.]*$', ''), '(?i)_Annual[_\\s]Report.*$', ''), '_\\d{{4}}-\\d{{2}}$', '') AS company,
-    coalesce(nullif(regexp_extract(file_name, '(\\d{{4}}-\\d{{2}})', 1), ''), nullif(regexp_extract(file_name, '(\\d{{4}})', 1), ''), 'Unknown') AS year FROM ({FILES_SQL}) WHERE doc_id < 100000),
+    coalesce(nullif(regexp_extract(file_name, '(\\d{{4}}-\\d{{2}})', 1), ''), nullif(regexp_extract(file_name, '(\\d{{4}})', 1), ''), 'Unknown') AS year FROM ({FILES_SQL})),
 x AS (SELECT doc_id, report_type, count(*) AS n FROM types JOIN block USING (doc_id) GROUP BY ALL)
 SELECT company AS "Company Name", year AS "Year", file_name AS "Original File", coalesce(report_type, 'None') AS "Report Type", coalesce(n, 0) AS "Pages Extracted",
     CASE WHEN n IS NULL THEN 'Not Found' ELSE 'Success' END AS "Extraction Status", CASE WHEN n IS NULL THEN 'N/A' ELSE company || '_' || report_type || '_' || year || '.pdf' END AS "Output File",

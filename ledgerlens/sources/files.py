@@ -100,24 +100,6 @@ def read_pages(files: DataFrame, engine: Callable[[bytes], Iterator[dict]]) -> D
     return files.select("path", "content").mapInPandas(pages, PAGE_SCHEMA)
 
 
-def mupdf_engine(content: bytes) -> Iterator[dict]:
-    """Pages by PyMuPDF, where it is installed: blocks in reading order on landscape pages, plain text elsewhere."""
-    import fitz
-
-    with fitz.open(stream=content, filetype="pdf") as doc:
-        for page in doc:
-            box = page.rect
-            wide = box.width > box.height
-            text = "\n".join(b[4] for b in sorted(page.get_text("blocks"), key=lambda b: (b[1], b[0])) if b[4].strip()) if wide else page.get_text()
-            yield {"text": text, "width": box.width, "height": box.height}
-
-
-def plain_engine(content: bytes) -> Iterator[dict]:
-    """Pages of plain text set apart by form feeds, as text extractors write them."""
-    for page in content.decode("utf-8", "replace").split("\f"):
-        yield {"text": page}
-
-
 def whole_text(pages: DataFrame, joiner: str = "", end: str = "") -> DataFrame:
     """path, text: pages in order; unreadable files give an empty text. joiner ' ' and end ' ' follow every page that has text."""
     text = F.col("text") if not end else F.nullif(F.col("text"), F.lit(""))

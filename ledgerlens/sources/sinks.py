@@ -31,6 +31,27 @@ def write_sheets(sheets: Mapping[str, DataFrame], path: str) -> dict[str, str]:
     return out
 
 
+def write_workbook(sheets: Mapping[str, DataFrame], path: str, most: int = 50) -> None:
+    """A real workbook on the driver, by openpyxl where it is installed: for summaries, not for corpora (a sheet ends at 1,048,576 rows, and a longer one is refused)."""
+    from openpyxl import Workbook
+
+    book = Workbook(write_only=True)
+    for name, df in sheets.items():
+        widths = {r["column"]: r["width"] for r in column_widths(df, most).collect()}
+        sheet = book.create_sheet(name)
+        for i, c in enumerate(df.columns):
+            sheet.column_dimensions[chr(65 + i) if i < 26 else f"A{chr(39 + i)}"].width = widths[c]
+        sheet.append(df.columns)
+        n = 1
+        for part in to_batches(df):
+            n += len(part)
+            if n > 1_048_576:
+                raise ValueError(f"{name}: more rows than a sheet has")
+            for row in part.itertuples(index=False):
+                sheet.append([x if x is None or isinstance(x, (str, int, float, bool)) else str(x) for x in row])
+    book.save(path)
+
+
 def column_widths(df: DataFrame, most: int = 50) -> DataFrame:
     """column, width: the longest value or name and two more, `most` at most."""
     longest = [F.struct(F.lit(c).alias("column"), F.least(F.greatest(F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0)), F.lit(len(c))) + 2, F.lit(most)).alias("width")) for c in df.columns]

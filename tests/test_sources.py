@@ -5,6 +5,7 @@ from oracle import rows_of
 
 from ledgerlens.functions import vocabulary as V
 from ledgerlens.sources import files, lexicons, sinks
+from ledgerlens.sources.engines import plain_engine
 
 
 def put(root, names):
@@ -43,8 +44,7 @@ def test_pages_and_errors(spark, tmp_path):
     def engine(content):
         if content == b"bad":
             raise ValueError("broken")
-        for page in content.decode().split("\f"):
-            yield {"text": page}
+        yield from plain_engine(content)
 
     pages = files.read_pages(spark.read.format("binaryFile").load(root), engine)
     got = sorted((r["path"][-5:], r["page_num"], r["text"], r["error"]) for r in pages.collect() if r["error"] is None)
