@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import stem, suffix
+from ..sources.staging import staged
 
 
 def numbered(files: DataFrame, name: str = "file_name", order: str = "path", mark: str = "_", into: str = "dest_name") -> DataFrame:
     """files with a destination name that no other row has: of equal names the first by `order` keeps it, others get mark and a number.
 
+    Ranks are counted by name and range of `order`, and shifted by the ranges before, so that a name that many files share is no single task.
     Where such a name is another file's own, the next free number is taken: taken names are found by a join and only the rows that clash
     are numbered anew, each round on fewer rows.
     """
     c = F.col(name)
-    rank = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
     made = lambda n: F.when(n == 0, c).otherwise(F.concat(stem(c), F.lit(mark), n.cast("string"), suffix(c)))
-    own = files.withColumn("_n", rank)
+    # written, so that the ranges are the same wherever they are read
+    dealt = staged(files.repartitionByRange(name, order).withColumn("_range", F.spark_partition_id()))
+    before = dealt.groupBy(name, "_range").agg(F.count("*").alias("_rows"))
+    before = before.select(F.col(name).alias("_name"), F.col("_range").alias("_at"), (F.sum("_rows").over(Window.partitionBy(name).orderBy("_range")) - F.col("_rows")).alias("_shift"))
+    nth = F.row_number().over(Window.partitionBy(name, "_range").orderBy(order)) - 1
+    own = dealt.withColumn("_nth", nth).join(before, F.col(name).eqNullSafe(F.col("_name")) & (F.col("_range") == F.col("_at")))
+    own = own.withColumn("_n", F.col("_nth") + F.col("_shift")).drop("_name", "_range", "_at", "_rows", "_shift", "_nth")
     taken = files.select(c.alias("_taken")).distinct()
     done = own.withColumn(into, made(F.col("_n")))
     # numbers that a file's own name has already: all numbers of that name shift past them

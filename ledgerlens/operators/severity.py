@@ -15,6 +15,7 @@ from ..functions import vocabulary as V
 from ..functions.columns import bound, ratio, rounded
 from ..functions.metrics import min_max, z_score
 from ..functions.text import index_tokens, ngrams, tokens
+from ..sources.staging import staged
 from .tone import with_words
 
 ESG_TERMS = sorted({*V.ENVIRONMENTAL_TERMS, *V.SOCIAL_TERMS, *V.GOVERNANCE_TERMS})
@@ -55,7 +56,7 @@ def sustainability_scores(docs: DataFrame, words: Column, topics: Iterable[str]
     """
     n_docs = docs.count()
     counts = term_counts(docs, words, key)
-    terms = vocabulary(counts, n_docs, max_share, most).withColumn("hit", on_topic(F.col("term"), topics))
+    terms = staged(vocabulary(counts, n_docs, max_share, most).withColumn("hit", on_topic(F.col("term"), topics)))
     terms = terms.crossJoin(F.broadcast(terms.agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("any"))))  # one row
     raw = counts.join(F.broadcast(terms), "term").select(key, (F.col("tf") * F.col("idf")).alias("raw"), (F.col("hit") | ~F.col("any")).alias("in"))
     # the norm divides the sum, so that both come out of one aggregate
@@ -95,7 +96,8 @@ def severity_index(docs: DataFrame, polarity: Iterable[tuple[str, float, float]]
     p, s = sentiment(F.coalesce(F.col("text"), F.lit("")), polarity, rounding)
     tone = bound(docs.select(key, company.alias("company"), file.alias("file"), "text"), sentiment_polarity=p, sentiment_subjectivity=s).drop("text")
     score = sustainability_scores(docs, index_tokens("text", {*V.ENGLISH_STOPWORDS, *V.INDEX_STOPWORDS, *stops}, lemmas), topics, key)
-    own = normalised(tone.join(score, key), ["sentiment_polarity", "score"]).withColumn("_index", F.col("sentiment_polarity_z") - F.col("score_z"))
+    both = staged(tone.join(score, key))  # numbers and names alone; read for the moments and for the index
+    own = normalised(both, ["sentiment_polarity", "score"]).withColumn("_index", F.col("sentiment_polarity_z") - F.col("score_z"))
     r = lambda c: rounded(F.col(c), 6, rounding)
     return own.select(
         "company", "file", r("_index").alias("esgsi"), r("score_minmax").alias("normalized_sustainability_score"), r("sentiment_polarity_minmax").alias("normalized_sentiment_score"),
