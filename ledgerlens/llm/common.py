@@ -1,74 +1,26 @@
-"""Helpers that the corpus operators share: tables, words and stages written to the shared folder."""
+"""Helpers that the corpus operators share."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import bound
 from ..functions.deploy import ship
+from ..sources.staging import discard, shared_dir, small, staged
 
-__all__ = ["bound", "discard", "n_words", "shared_dir", "ship", "staged", "table", "words"]
+__all__ = ["bound", "discard", "n_words", "shared_dir", "ship", "small", "staged", "table", "words"]
 
 #: Words are runs of characters other than the six ASCII white space characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-_own_dir: dict[str, str] = {}
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary
-    folder in local mode and a folder of the warehouse elsewhere."""
-    conf = spark.sparkContext.getConf()
-    if found := spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None):
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        local = conf.get("spark.master", "").partition("[")[0] == "local"
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="stages-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
-    return _own_dir[app]
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: what follows neither recomputes it nor depends
-    on an executor's disk."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a staged DataFrame that no later plan reads."""
-    for at in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, at)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _clear() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):  # the JVM may have ended before
-            _delete(spark, path)
-
-
 def words(text: Column | str) -> Column:
     """The words of a text; null: none."""
     text = F.col(text) if isinstance(text, str) else text
