@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import spread
+
 #: A lexicon whose words occur in the documents; Stop overlaps with the others on purpose.
 LEXICON = {
     "Positive": ["the", "that", "with", "des", "und"],
@@ -22,8 +24,13 @@ ESG_WORDS = ["the", "inoran", "ononst", "sich", "del"]
 POLARITY = [("the", 0.2, 0.1), ("that", 0.4, 0.3), ("with", 0.1, 0.2), ("der", -0.5, 0.6), ("que", -0.2, 0.9), ("les", 0.7, 0.5), ("license", -0.9, 1.0)]
 
 
+#: Tables of texts, whose rows cost much more than moving them.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,13 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of texts as it was read, dealt over all cores if its files give fewer than half as many partitions: else one file of one row group
+    leaves all but one waiting. Tables of more partitions, as all large ones are, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small(df: DataFrame, most: int = 50_000) -> DataFrame:
     """A staged df, marked for broadcast if it has at most `most` rows (of some numbers and names each); joined as any other table beyond that."""
     return F.broadcast(df) if df.count() <= most else df
