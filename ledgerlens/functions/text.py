@@ -17,7 +17,8 @@ from . import vocabulary as V
 from .columns import col, one_of
 
 #: Unicode white space, with the four separators U+001C to U+001F.
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[ {BLANKS}]+"
 #: Characters that are stripped from a token's ends. Fixed values.
 PUNCTUATION = "!\"#$%&'()*+, -./:;<=>?@[\\]^_`{|}~"
 LOOSE_PUNCTUATION = ".,!?;:\"'()[]{}<>-–—"
@@ -26,7 +27,9 @@ LETTERS = r"^\p{L}+$"
 
 def tokens(text: Column | str) -> Column:
     """The runs of a text between white space; null: none."""
-    return F.filter(F.split(F.coalesce(col(text), F.lit("")), SPACE), lambda t: t != "")
+    # one pass makes all white space blanks, so that the split needs no pattern
+    plain = F.translate(F.coalesce(col(text), F.lit("")), BLANKS, " " * len(BLANKS))
+    return F.filter(F.split(plain, " "), lambda t: t != "")
 
 
 def stripped(text: Column | str) -> Column:

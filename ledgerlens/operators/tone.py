@@ -56,10 +56,14 @@ def tone_metrics(docs: DataFrame, lexicon: Mapping[str, Iterable[str]], esg: Ite
     top words are empty. An empty table gives an empty result.
     """
     own = docs.select(col(name).alias("filename"), F.col(text).alias("_text"))
-    own = with_words(own, tone_tokens("_text", {*stops, *lexicon.get("Stop", ())}, normalise))
-    counts = {f"LM_{c}": _count("words", one_of(lexicon.get(c, ()))) for c in V.TONE_CATEGORIES}
-    letters = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w["n"] * F.length(w["word"]))
-    own = bound(own.drop("_text"), total_words=_count("words"), unique_words=F.size("words").cast("long"), _letters=letters, esg_count=_count("words", one_of(esg)), top_20_words=top_words("words"), **counts)
+    own = bound(own, _tokens=tone_tokens("_text", {*stops, *lexicon.get("Stop", ())}, normalise)).drop("_text")
+    known = one_of({*esg, *(w for c in V.TONE_CATEGORIES for w in lexicon.get(c, ()))})
+    own = with_words(own, F.col("_tokens"))
+    # most words are in no list: they are looked at once, and the categories' counts only at the others
+    own = bound(own, _hits=F.filter("words", lambda w: known(w["word"])))
+    counts = {f"LM_{c}": _count("_hits", one_of(lexicon.get(c, ()))) for c in V.TONE_CATEGORIES}
+    totals = {"total_words": F.size("_tokens").cast("long"), "unique_words": F.size("words").cast("long"), "_letters": F.length(F.array_join("_tokens", "")).cast("long")}
+    own = bound(own, **totals, esg_count=_count("_hits", one_of(esg)), top_20_words=top_words("words"), **counts)
     n = {c: F.col(f"LM_{c}") for c in V.TONE_CATEGORIES}
     ratios = tone_ratios(n, F.col("total_words"), F.col("unique_words"), F.col("_letters"), F.col("esg_count"), rounding)
     return own.withColumns(ratios).select(TONE_COLUMNS)
@@ -78,20 +82,18 @@ def category_counts(docs: DataFrame, lexicon: DataFrame, key: str, tokens: Colum
 def short_tone(docs: DataFrame, lexicon: Mapping[str, Iterable[str]], company: Column, year: Column, file: Column, text: str = "text", rounding: str = "spark") -> DataFrame:
     """The short schema: counts alone, with company and year. Net_Tone is a count here. Null and empty texts count nothing."""
     stop = one_of(lexicon.get("Stop", ()))
+    known = one_of({w for c in SHORT_COLUMNS for w in lexicon.get(c, ())})
     own = bound(docs.select(company.alias("Company"), year.alias("Year"), file.alias("File_Name"), F.col(text).alias("_text")), _raw=loose_tokens("_text")).drop("_text")
-    n = {v: _held(lexicon.get(c, ()), stop) for c, v in SHORT_COLUMNS.items()}
-    own = bound(own, Total_Words_Raw=F.size("_raw").cast("long"), Total_Words_Clean=F.size(F.filter("_raw", lambda t: ~stop(t))).cast("long"), **n)
+    own = bound(own, _clean=F.filter("_raw", lambda t: ~stop(t)))
+    own = bound(own, _hits=F.filter("_clean", known))
+    n = {v: F.size(F.filter("_hits", one_of(lexicon.get(c, ())))).cast("long") for c, v in SHORT_COLUMNS.items()}
+    own = bound(own, Total_Words_Raw=F.size("_raw").cast("long"), Total_Words_Clean=F.size("_clean").cast("long"), **n)
     pos, neg = F.col("Positive_Words"), F.col("Negative_Words")
     own = own.withColumn("Net_Tone", pos - neg).withColumn("Tone_Ratio", rounded(ratio(pos, pos + neg), 4, rounding))
     first = ["Company", "Year", "File_Name", "Total_Words_Raw", "Total_Words_Clean", "Positive_Words", "Negative_Words", "Net_Tone", "Tone_Ratio"]
     return own.select(*first, *(c for c in SHORT_COLUMNS.values() if c not in first))
 
 
-def _held(words: Iterable[str], stop) -> Column:
-    hit = one_of(words)
-    return F.size(F.filter("_raw", lambda t: hit(t) & ~stop(t))).cast("long")
-
-
 def company_summary(tone: DataFrame, digits: int = 2) -> DataFrame:
     """Averages of the short schema by company, and its number of files. Rows without a company are left out."""
     known = tone.filter(F.col("Company").isNotNull())
