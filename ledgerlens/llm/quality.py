@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_cdf, chi2_quantile
-from .common import SPACES, staged, table, words
+from .common import SPACES, small, staged, table, words
 
 SHARE, STEPS, LEAST = 0.75, 3, 50
 CUTOFF = 1 - 1e-6
@@ -65,14 +65,14 @@ def _grouped(d: DataFrame) -> DataFrame:
     name = lambda *c: F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("-")) for x in c))
     own = d.withColumn("_own", name("lang", "source")).withColumn("_lang", name("lang"))
     counts = own.filter("not base_failed").groupBy("_own", "_lang").agg(F.count("*").alias("_n"))
-    small = F.col("_n") < LEAST
-    counts = counts.withColumn("_nl", F.sum(F.when(small, F.col("_n")).otherwise(0)).over(Window.partitionBy("_lang")))
+    few = F.col("_n") < LEAST
+    counts = counts.withColumn("_nl", F.sum(F.when(few, F.col("_n")).otherwise(0)).over(Window.partitionBy("_lang")))
     slim = F.col("_nl") < LEAST
     # the rest of the rest: over all languages, by an aggregate of the table of groups
-    rest = counts.filter(small & slim).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_nr"))
+    rest = counts.filter(few & slim).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_nr"))
     counts = counts.crossJoin(F.broadcast(rest))  # one row
-    group = F.when(~small, F.concat(F.lit("s"), F.col("_own"))).when(~slim, F.concat(F.lit("l"), F.col("_lang"))).when(F.col("_nr") >= LEAST, F.lit("a"))
-    return own.join(counts.select("_own", group.alias(GROUP)), "_own", "left").drop("_own", "_lang")
+    group = F.when(~few, F.concat(F.lit("s"), F.col("_own"))).when(~slim, F.concat(F.lit("l"), F.col("_lang"))).when(F.col("_nr") >= LEAST, F.lit("a"))
+    return own.join(small(staged(counts.select("_own", group.alias(GROUP)))), "_own", "left").drop("_own", "_lang")
 
 
 def _slice_at(counts: DataFrame, by: list[str], share: float, name: str) -> DataFrame:
@@ -126,7 +126,7 @@ def _concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
     """One concentration step: mean and covariance of the SHARE of each group that is nearest under `model`."""
     at = _distance(rows, model).withColumn("slice", F.floor(F.log1p("d2") * 256))
     counts = at.groupBy(GROUP, "slice").agg(F.count("*").alias("n"))
-    near = at.join(_slice_at(counts, [GROUP], SHARE, "edge"), GROUP).filter("slice <= edge")
+    near = at.join(small(staged(_slice_at(counts, [GROUP], SHARE, "edge"))), GROUP).filter("slice <= edge")
     x = [F.col(f"x{i}") for i in range(P)]
     sums = near.groupBy(GROUP).agg(F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(P)), *(F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in PAIRS))
     # the scatter of the nearest SHARE of a normal sample falls short by this factor
@@ -138,11 +138,11 @@ def _concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 def verdicts(stats: DataFrame) -> DataFrame:
     """stats (of `base_statistics`, with lang and source), staged by the caller: the same rows with kept and d2."""
-    rows = staged(_grouped(_features(stats)))
-    fit = rows.filter(f"not base_failed and {GROUP} is not null").select(GROUP, *(f"x{i}" for i in range(P)))
-    model = staged(_start(fit))
+    rows = _grouped(_features(stats))
+    fit = staged(rows.filter(f"not base_failed and {GROUP} is not null").select(GROUP, *(f"x{i}" for i in range(P))))
+    model = small(staged(_start(fit)))
     for _ in range(STEPS):
-        model = staged(_concentrated(fit, model))
+        model = small(staged(_concentrated(fit, model)))
     judged = _distance(rows, model)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(CUTOFF, P), F.lit(True))
     return judged.withColumn("kept", kept).drop(GROUP, *(f"x{i}" for i in range(P)))
@@ -161,10 +161,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, all columns."""
-    row = "_quality_row"
-    held = staged(docs.withColumn(row, F.monotonically_increasing_id()))
-    stats = base_statistics(held.select(row, "text", "lang", "source")).drop("text")
-    return held.join(verdicts(staged(stats)).filter("kept").select(row), row, "left_semi").drop(row)
+    held = staged(base_statistics(docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")).drop("text"))
+    return verdicts(held).filter("kept").select("_row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
