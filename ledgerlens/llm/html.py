@@ -187,7 +187,7 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> Iterator[tuple[str,
         return a + (text if a.startswith("<p") else r.choice((text, f"<p>{text}</p>", f"<p>{text}</p><button>{r.choice(('OK', 'Accept', some(1, 2)))}</button>"))) + b
 
     def side() -> str:
-        a, b = named(r.choice(("aside", "aside", "div", "section")), "sidebar", "side", "widget", "related", "rail", "secondary", "aside", "recommended", "trending", "tags")
+        a, b = named(r.choice(("aside", "aside", "div", "section")), "sidebar", "side", "widget", "related", "rail", "complementary", "secondary", "aside", "recommended", "trending", "tags")
         parts = [f"<h{(k := r.choice((2, 3, 4)))}>{r.choice(('Related', some(1, 3)))}</h{k}>" + r.choice(("<ul>" + "".join(f"<li>{link(some(2, 8))}</li>" for _ in range(r.randint(2, 6))) + "</ul>", f"<p>{prose(1, 3)}</p>", f"<p>{prose(1, 2)}</p><p>{link(some(2, 4))}</p>")) for _ in range(r.randint(1, 3))]
         return a + "".join(parts) + b
 
@@ -213,7 +213,7 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> Iterator[tuple[str,
         return a + r.choice(("", f"<div>{link(some(1, 3))}</div>", f"<p>{some(2, 7)}</p>", f"<h1>{some(1, 3)}</h1>", f"<p>{prose(1, 2)}</p>")) + (menu() if r.random() < 0.5 else "") + b
 
     def foot() -> str:
-        a, b = named(r.choice(("footer", "footer", "footer", "div")), "footer", "site-footer", "bottom", "copyright", "colophon", "legal")
+        a, b = named(r.choice(("footer", "footer", "footer", "div")), "footer", "site-footer", "contentinfo", "bottom", "copyright", "colophon", "legal")
         return a + r.choice((f"&copy; {word()}.example &middot; {some(3, 8, '.')}", f"<p>{prose(1, 3)}</p>", f"<p>&copy; {some(2, 5)}</p>" + "".join(f"<p>{link(some(1, 3))}</p>" for _ in range(r.randint(0, 4))), prose(1, 3))) + b
 
     def share() -> str:
@@ -271,7 +271,7 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> Iterator[tuple[str,
             piece, own = text_block()
             inside.append(piece)
             texts += own
-            if r.random() < 0.07:
+            if r.random() < 0.12:
                 inside.append(r.choice((advert, advert, side, notice, form, share))())
         if r.random() < 0.15:
             inside.append(r.choice((share, comments, advert, foot))())
