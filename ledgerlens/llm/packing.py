@@ -18,6 +18,7 @@ import math
 import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -123,21 +124,26 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None =
 def best_fit(counts: dict[int, int], capacity: int) -> list[Bin]:
     """Best-fit decreasing on a histogram, equal bins together."""
     left = {n: k for n, k in counts.items() if k > 0}
+    order = sorted(left)
     out: list[Bin] = []
-    while left:
-        room, filling = capacity, []
+    while order:
+        room, filling, own, end = capacity, [], {}, len(order)
         while True:
-            fits = [n for n in left if n <= room and left[n] > filling.count(n)]
-            if not fits:
+            at = bisect_right(order, room, 0, end) - 1
+            while at >= 0 and own.get(order[at], 0) >= left[order[at]]:
+                at -= 1
+            if at < 0:
                 break
-            filling.append(max(fits))
-            room -= filling[-1]
-        times = min(left[n] // filling.count(n) for n in set(filling))
+            n, end = order[at], at + 1  # what fits later is no longer than this
+            filling.append(n)
+            own[n] = own.get(n, 0) + 1
+            room -= n
+        times = min(left[n] // k for n, k in own.items())
         out.append((tuple(filling), times))
-        for n in set(filling):
-            left[n] -= times * filling.count(n)
+        for n, k in own.items():
+            left[n] -= times * k
             if not left[n]:
-                del left[n]
+                del left[n], order[bisect_left(order, n)]
     return out
 
 
@@ -246,13 +252,13 @@ def ranked(cut: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     return inside.join(before, ["length", "bucket"]).withColumn("rank", F.col("nth") + F.col("shift")).drop("nth", "shift", "bucket")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, **vocabulary_of) -> DataFrame:
-    """docs: doc_id, text. Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, **vocabulary_of) -> DataFrame:
+    """docs: doc_id, text. Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, on demand, its ids.
 
     A null or empty text is one piece, the closing id alone; repeated rows and null doc_ids each get places of their own;
     other columns are neither read nor returned; an empty table gives an empty result.
     """
-    cut = staged(pieces(docs, capacity=capacity, **vocabulary_of))
+    cut = staged(pieces(docs, capacity=capacity, with_ids=with_ids, **vocabulary_of))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     at = places(complete(counts, capacity))
     length, lo, first, offset = (at[c].to_numpy(np.int64) for c in ("length", "lo", "first", "offset"))
@@ -263,10 +269,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, **vocabulary_of) -> DataFram
         for b in batches:
             rank = b["rank"].to_numpy(np.int64)
             k = np.searchsorted(key, (b["length"].to_numpy(np.int64) << 48) | rank, "right") - 1
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), **{c: b[c] for c in ("piece", "start", "length", "ids_crc32")}, "sequence_id": first[k] + rank - lo[k], "offset": offset[k]})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), **{c: b[c] for c in ("piece", "start", "length", "ids_crc32")}, "sequence_id": first[k] + rank - lo[k], "offset": offset[k], **{c: b[c] for c in ["ids"] * with_ids}})
 
     given = ranked(cut).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return given.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return given.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """packed (with ids). One row per sequence: sequence_id, n_tokens, ids (little-endian unsigned 32-bit, the pieces in order). A sequence is no longer
+    than the capacity, and so is its group."""
+    by = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("own"))
+    return by.select("sequence_id", "n_tokens", F.aggregate("own", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,20 @@ def test_packing_of_odd_tables(spark):
     assert rows(spark, []) == []
 
 
+def test_sequences_hold_the_ids(spark, documents, ids):
+    docs = [(d, t) for d, t, *_ in documents[:60]]
+    packed = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), capacity=512, with_ids=True)
+    whole = {r["sequence_id"]: r for r in packing.sequences(packed).collect()}
+    back = {}
+    for r in packed.collect():
+        s = whole[r["sequence_id"]]
+        assert len(s["ids"]) == 4 * s["n_tokens"] <= 4 * 512
+        back.setdefault(r["doc_id"], {})[r["piece"]] = s["ids"][4 * r["offset"] : 4 * (r["offset"] + r["length"])]
+    for d, t in docs:
+        own = b"".join(back[d][k] for k in sorted(back[d]))
+        assert own == ids[0].of(t) + struct.pack("<I", 1)
+
+
 def fewest(lengths, room):
     """The least number of bins, by trying all."""
     best = len(lengths)
