@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bound
 from ..functions.deploy import ship
-from ..sources.staging import discard, shared_dir, small, staged
+from ..sources.staging import discard, shared_dir, small, spread, staged
 
-__all__ = ["bound", "discard", "n_words", "shared_dir", "ship", "small", "staged", "table", "words"]
+__all__ = ["bound", "discard", "n_words", "shared_dir", "ship", "small", "spread", "staged", "table", "words"]
 
 #: Words are runs of characters other than the six ASCII white space characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -18,7 +18,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def words(text: Column | str) -> Column:
