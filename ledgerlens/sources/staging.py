@@ -37,11 +37,12 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of texts as it was read, dealt over all cores if its files give fewer than half as many partitions: else one file of one row group
-    leaves all but one waiting. Tables of more partitions, as all large ones are, stay as they are."""
+def spread(df: DataFrame, bytes_per_core: int = 8 << 20) -> DataFrame:
+    """A table of texts as it was read, dealt over all cores if its files hold less than `bytes_per_core` for each: a small file is often one row group,
+    which one task reads, however many splits it has. Larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * bytes_per_core else df
 
 
 def small(df: DataFrame, most: int = 50_000) -> DataFrame:
