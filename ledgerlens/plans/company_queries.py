@@ -25,9 +25,13 @@ def _counts(spark, sf):
     return severity.term_counts(table(spark, sf, "documents"), _words())
 
 
-def _terms(spark, sf):
+def _terms(spark, sf, **most):
     docs = table(spark, sf, "documents")
-    return severity.vocabulary(_counts(spark, sf), docs.count(), most=_MOST)
+    return severity.vocabulary(_counts(spark, sf), docs.count(), **most)
+
+
+def _weights(spark, sf, **most):
+    return severity.tfidf(_counts(spark, sf), _terms(spark, sf, **most)).select("doc_id", "term", F.round("weight", 9).alias("weight"))
 
 
 def _index(spark, sf):
@@ -44,6 +48,10 @@ def _vocabulary_sql(most: int) -> str:
     return f"""v AS (SELECT term, df, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS c FROM tf GROUP BY term), n WHERE df >= CASE WHEN n >= 4 THEN 2 ELSE 1 END AND df <= 0.95 * n ORDER BY c DESC, term LIMIT {most})"""
 
 
+def _weights_sql(most: int) -> str:
+    return f"WITH {_T}, {_vocabulary_sql(most)}, r AS (SELECT doc_id, term, tf * idf AS raw FROM tf JOIN v USING (term)) SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 9) AS weight FROM r"
+
+
 _HIT = " OR ".join(f"contains(term, {quoted(w)})" for w in ESG_WORDS)
 _SCORE = f"""WITH {_T}, {_vocabulary_sql(10000)},
 h AS (SELECT *, ({_HIT}) AS hit FROM v), a AS (SELECT coalesce(bool_or(hit), false) AS any_hit FROM h),
@@ -112,11 +120,11 @@ def _event_windows(spark, sf):
 
 
 QUERIES = {
-    "vocabulary": (_terms, f"WITH {_T}, {_vocabulary_sql(_MOST)} SELECT * FROM v"),
-    "tfidf": (
-        lambda s, d: severity.tfidf(_counts(s, d), _terms(s, d)).select("doc_id", "term", F.round("weight", 9).alias("weight")),
-        f"WITH {_T}, {_vocabulary_sql(_MOST)}, r AS (SELECT doc_id, term, tf * idf AS raw FROM tf JOIN v USING (term)) SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 9) AS weight FROM r",
-    ),
+    "vocabulary": (lambda s, d: _terms(s, d, most=_MOST), f"WITH {_T}, {_vocabulary_sql(_MOST)} SELECT * FROM v"),
+    "tfidf": (lambda s, d: _weights(s, d, most=_MOST), _weights_sql(_MOST)),
+    # the reference's whole vocabulary; the two above keep the size that their SQL was given with
+    "vocabulary_full": (_terms, f"WITH {_T}, {_vocabulary_sql(10000)} SELECT * FROM v"),
+    "tfidf_full": (_weights, _weights_sql(10000)),
     "sustainability_scores": (lambda s, d: severity.sustainability_scores(table(s, d, "documents"), _words(), ESG_WORDS).select("doc_id", F.round("score", 9).alias("score")), f"{_SCORE} SELECT doc_id, round(score, 9) AS score FROM score"),
     "sentiment": (
         lambda s, d: table(s, d, "documents").select("doc_id", *(c.alias(k) for c, k in zip(severity.sentiment(F.coalesce("text", F.lit("")), POLARITY), ("polarity", "subjectivity"), strict=True))),
