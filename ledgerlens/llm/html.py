@@ -28,8 +28,12 @@ from .common import ship, table
 PAGES, SEED, STEPS, PENALTY = 1000, 5, 200, 2e-6
 
 #: Elements whose content is never text of the page.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "audio", "video")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br input".split())
+RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video")
+#: Their ends, which those of other names and with attributes are not taken for.
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br input".split()) | frozenset(
+    "math maction annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
@@ -37,7 +41,7 @@ SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td",
 #: What such an end stays within.
 WALLS = frozenset("table td th ul ol dl html body button caption".split())
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({"|".join(RAW)})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][\w:-]*+)((?:[^<>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>|[^<]++|<""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][\w:-]*+)((?:[^<>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>|[^<]++|<""",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""([\w:-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -63,6 +67,25 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _tokens(html: str) -> Iterator[re.Match]:
+    """The matches of TOKEN but for raw elements. Without an end tag, scripts and styles last to the page's end, of others only the start tag goes."""
+    at: int | None = 0
+    unclosed = set()
+    while at is not None:
+        start, at = at, None
+        for m in TOKEN.finditer(html, start):
+            tag = (m[2] or m[5] or "").lower()
+            if tag not in RAW_END or m[1] or m[4]:
+                yield m
+            elif tag not in unclosed and not (tag == "svg" and (m[3] or m[6] or "").endswith("/")):
+                if end := RAW_END[tag].search(html, m.end()):
+                    at = end.end()
+                    break
+                if tag in ("script", "style"):
+                    break
+                unclosed.add(tag)
+
+
 def blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page in order. Character references are decoded, white space is one space, blocks without text are none."""
     out: list[Block] = []
@@ -86,11 +109,11 @@ def blocks(html: str | None) -> list[Block]:
             if stack[k][0] in walls:
                 return
 
-    for m in TOKEN.finditer(html or ""):
-        tag = m[3] or m[6]
+    for m in _tokens(html or ""):
+        tag = m[2] or m[5]
         if tag is None:
             s = m[0]
-            if m[1] is None and not s.startswith(("<!", "<?")):
+            if not s.startswith(("<!", "<?")):
                 s = unescape(s) if "&" in s else s
                 held.append(s)
                 if link:
@@ -101,10 +124,10 @@ def blocks(html: str | None) -> list[Block]:
             if tag == "br":
                 held.append(" ")
             elif tag == "a":
-                link = not (m[2] or m[5])
+                link = not (m[1] or m[4])
             continue
         flush()
-        if m[2] or m[5]:
+        if m[1] or m[4]:
             close({tag}, ())
             continue
         if tag in ENDS_P:
@@ -116,7 +139,7 @@ def blocks(html: str | None) -> list[Block]:
                 close(SAME[tag], {"table"} if tag in ("tr", "tbody", "thead") else {"ul", "ol", "dl", "table"})
         if tag not in VOID:
             before = stack[-1][1] if stack else ()
-            stack.append((tag, tuple(dict.fromkeys((*before, *_marks(tag, m[4] or m[7] or ""))))))
+            stack.append((tag, tuple(dict.fromkeys((*before, *_marks(tag, m[3] or m[6] or ""))))))
     flush()
     return out
 
