@@ -151,43 +151,52 @@ def fillings(left: dict[int, int], order: list[int], room: int, worst: int, node
     """Up to `many` undominated fillings of `room` by (waste, lengths), least waste first, none of more waste than `worst`.
 
     order: the lengths left, descending. A filling is only kept if nothing left over fits into its waste."""
-    found: list[tuple[int, tuple[int, ...]]] = []
+    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     seen, best = 0, worst
+    runs: list[tuple[int, int]] = []  # (length, how many) on the way to the node
 
-    def dive(room: int, at: int, own: tuple[int, ...]) -> None:
+    def steps(room: int, at: int) -> Iterator[tuple[int, int, int]]:
+        """What comes next: a length that fits, how many of it, most first, and the place after it."""
+        for k in range(at, len(order)):
+            n = order[k]
+            for many_of in range(min(left[n], room // n), 0, -1):
+                yield n, many_of, k + 1
+
+    def visit(room: int, at: int) -> Iterator[tuple[int, int, int]]:
         nonlocal seen, best
         seen += 1
-        if not room or seen > nodes:
-            fits = None
-        else:
-            used = {n: own.count(n) for n in set(own)}
-            if left.get(room, 0) > used.get(room, 0) and (not own or room <= own[-1]):  # an exact fit dominates all else
-                found.append((0, (*own, room)))
+        if room and seen <= nodes:
+            if left.get(room, 0) and (not runs or room < runs[-1][0]):  # an exact fit dominates all else
+                found.append((0, (*runs, (room, 1))))
                 best = 0
-                return
+                return iter(())
             lo, hi = at, len(order)
             while lo < hi:
                 mid = (lo + hi) // 2
                 lo, hi = (mid + 1, hi) if order[mid] > room else (lo, mid)
-            fits = lo
-        if fits is None or fits >= len(order):
-            if room <= best:
-                found.append((room, own))
-                best = room if len(found) >= many else best
-            return
-        gone = False
-        for k in range(fits, len(order)):
-            n = order[k]
-            if left[n] > own.count(n):
-                gone = True
-                dive(room - n, k, (*own, n))
-                if seen > nodes or best == 0 and len(found) >= many:
-                    return
-        if not gone and room <= best:
-            found.append((room, own))
-
-    dive(room, 0, ())
-    return sorted(dict.fromkeys(found), key=lambda x: (x[0], len(x[1])))[:many]
+            if lo < len(order):
+                return steps(room, lo)
+            if any(n <= room and k < left[n] for n, k in runs):
+                return iter(())
+        if room <= best:
+            found.append((room, tuple(runs)))
+            best = room if len(found) >= many else best
+        return iter(())
+
+    # frames of (room, steps): as deep as there are lengths in a filling, not documents
+    stack = [(room, visit(room, 0))]
+    while stack and seen <= nodes and not (best == 0 and len(found) >= many):
+        room, further = stack[-1]
+        if (step := next(further, None)) is None:
+            stack.pop()
+            if runs:
+                runs.pop()
+            continue
+        n, k, at = step
+        runs.append((n, k))
+        stack.append((room - n * k, visit(room - n * k, at)))
+    first = sorted(dict.fromkeys(found), key=lambda x: (x[0], sum(k for _, k in x[1])))[:many]
+    return [(waste, tuple(n for n, k in own for _ in range(k))) for waste, own in first]
 
 
 def complete(counts: dict[int, int], capacity: int, dives: int = 24, nodes: int = 3000) -> list[Bin]:
