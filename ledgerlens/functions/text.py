@@ -56,11 +56,13 @@ def valid_token(token: Column, least: int = 3) -> Column:
     return token.rlike(LETTERS) & (F.length(token) >= least)
 
 
-def tone_tokens(text: Column | str, stops: Iterable[str], normalise: bool = False) -> Column:
-    """Lower-case tokens of three or more letters that are no stopwords. normalise: NFKC first (in Python)."""
-    text = nfkc(col(text)) if normalise else col(text)
+def tone_tokens(text: Column | str, stops: Iterable[str], normalise: bool = True) -> Column:
+    """Lower-case tokens of three or more letters that are no stopwords. normalise: NFKC of each token first (in Python)."""
     stop = one_of(stops)
-    return F.filter(F.transform(tokens(text), F.lower), lambda t: valid_token(t) & ~stop(t))
+    own = tokens(text)
+    # a normal form may hold a blank, which splits no token, but never a new line
+    own = F.split(nfkc(F.array_join(own, "\n")), "\n") if normalise else own
+    return F.filter(F.transform(own, F.lower), lambda t: valid_token(t) & ~stop(t))
 
 
 def loose_tokens(text: Column | str) -> Column:

@@ -49,7 +49,7 @@ def top_words(words: str, most: int = 20) -> Column:
     return F.array_join(F.transform(order, lambda w: F.concat(w["word"], F.lit(":"), (-w["n"]).cast("string"))), " | ")
 
 
-def tone_metrics(docs: DataFrame, lexicon: Mapping[str, Iterable[str]], esg: Iterable[str] = V.ESG_KEYWORDS, stops: Iterable[str] = V.REPORT_STOPWORDS, name: str | Column = "filename", text: str = "text", normalise: bool = False, rounding: str = "spark") -> DataFrame:
+def tone_metrics(docs: DataFrame, lexicon: Mapping[str, Iterable[str]], esg: Iterable[str] = V.ESG_KEYWORDS, stops: Iterable[str] = V.REPORT_STOPWORDS, name: str | Column = "filename", text: str = "text", normalise: bool = True, rounding: str = "spark") -> DataFrame:
     """The columns of TONE_COLUMNS for each row of docs.
 
     lexicon: words by category (missing ones are empty), and stopwords as 'Stop'. A null or empty text has no words: counts and ratios are zero, and the

@@ -116,11 +116,11 @@ QUERIES = {
         '[' || coalesce(string_agg((page_num + 1)::VARCHAR, ',' ORDER BY page_num) FILTER (WHERE action <> 'text'), '') || ']' AS skipped_pages FROM ({_TRIAGE_SQL}) GROUP BY doc_id""",
     ),
     "clean_text": (
-        lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(T.clean_tokens("text", normalise=False), " ").alias("cleaned")),
+        lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(T.clean_tokens("text"), " ").alias("cleaned")),
         f"SELECT doc_id, array_to_string({_TOKENS}, ' ') AS cleaned FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
     ),
     "conversion_log": (
-        lambda s, d: pages.conversion_log(_triaged(s, d), normalise=False),
+        lambda s, d: pages.conversion_log(_triaged(s, d)),
         f"""WITH d AS (SELECT doc_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page_num) FILTER (WHERE action = 'text'), '') AS text,
         '[' || coalesce(string_agg((page_num + 1)::VARCHAR, ',' ORDER BY page_num) FILTER (WHERE action <> 'text'), '') || ']' AS skipped_pages FROM ({_TRIAGE_SQL}) GROUP BY doc_id),
         c AS (SELECT doc_id, skipped_pages, {_TOKENS} AS w FROM d)
