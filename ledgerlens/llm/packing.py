@@ -4,7 +4,7 @@ The plan is made on the histogram of lengths, which has at most `capacity` rows
 bin takes the largest length left and a filling for the rest of the room; fillings are enumerated from the largest lengths
 down, those that leave no more waste than the best one so far, and a filling of fewer, larger documents comes before
 those it dominates. The waste of a partial plan bounds it: where total length plus waste needs as many bins as the
-incumbent (at first the best-fit decreasing plan), the branch is cut. A bin found is repeated as often as the counts
+incumbent (at first the first-fit decreasing plan), the branch is cut. A bin found is repeated as often as the counts
 allow, which exhausts a length each time: the plan has at most as many rows as there are lengths.
 
 Documents then take places by their rank among those of their length: ranks are counted by (length, bucket of
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None =
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Bin]:
-    """Best-fit decreasing on a histogram, equal bins together."""
+    """First-fit decreasing on a histogram, bin after bin with the largest length that fits, equal bins together."""
     left = {n: k for n, k in counts.items() if k > 0}
     order = sorted(left)
     out: list[Bin] = []
