@@ -2,13 +2,20 @@ r"""Quality rules: base rules, and robust multivariate outliers by the minimum c
 
 Each text is described by five statistics, transformed so that ordinary texts spread about alike: the logarithms of
 its words and of its mean word length, and square roots of the shares of symbols, repeated lines and repeated words. For each
-language and source the location and scatter are the mean and covariance of the `SHARE` of its texts that have the
-smallest distances, found by concentration steps (Rousseeuw and Van Driessen 1999) from a start at medians and quartile ranges, as in
-deterministic variants. A text is rejected where its squared Mahalanobis distance exceeds the chi-square quantile `CUTOFF`.
-
-All is sums and counts by group: quantiles of statistics and of distances come from counts by fine slices, and the
-5 x 5 matrices are factored (L D L') in Column expressions, so that nothing is collected, however many sources there are. Groups
-of fewer than `LEAST` texts are pooled by language, those still too small over all; a pool that is too small rejects nothing.
+language and source, location and scatter are those of the `SHARE` of its texts whose covariance has the least determinant. They are looked for from
+three deterministic starts (medians with quartile ranges alone, with the correlations of tanh scores, and with those of spatial signs;
+Hubert, Rousseeuw and Verdonck 2012) by concentration steps (Rousseeuw and Van Driessen 1999) until no determinant falls any more; of the three
+ends the one of the least determinant stays. A text is rejected where its squared Mahalanobis distance exceeds the chi-square quantile `CUTOFF`: one
+text in a thousand of a normal group.
+
+Small groups: every group's moments are joined by those of its language, which count as `PRIOR` texts, and these by those of all texts likewise (both of the
+nearest `SHARE` of each group at the first start), so that the estimate goes over from the group's own to its language's and the corpus's as the group
+gets smaller, with no threshold. Singular
+directions: most texts have no symbols, no repeated lines and no repeated words, so that the best `SHARE` of a group doesn't vary there at all. The
+variance of a statistic, given those before it, is therefore no less than what counting alone makes of it (`_features`).
+
+All is sums and counts by group and slice of the distance: the slice that `SHARE` ends in counts in part. The 5 x 5 matrices are factored (L D L')
+in Column expressions, so that nothing is collected, however many sources there are, and no group is gathered.
 """
 
 from __future__ import annotations
@@ -17,17 +24,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_cdf, chi2_quantile
-from .common import SPACES, small, staged, table, words
-
-SHARE, STEPS, LEAST = 0.75, 3, 50
-CUTOFF = 1 - 1e-6
-#: The least standard deviation of each statistic: below it, differences don't tell good texts from bad ones. Prose has next to no symbols, so that
-#: a few percent of them already tell; repeated lines and words are frequent in good texts, too, and the base rules judge them by themselves.
-FLOORS = (0.5, 0.1, 0.04, 0.25, 0.25)
-P = len(FLOORS)
+from .common import SPACES, discard, small, staged, table, words
+
+SHARE, PRIOR, CUTOFF = 0.75, 25, 0.999
+#: Concentration steps at most; from three starts on 80 sources, four to nine were needed.
+STEPS = 50
+#: Slices of a unit of a statistic, and of an e-fold of distances, in which rows are counted.
+FINE, SLICES = 1024, 64
+P = 5
+#: A window found twice covers six words at least, so that repeated words come six at a time.
+RUN = 6
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 SYMBOLS = "#*$%&|<>"
-GROUP = "_group"
+GROUP, LANG = "_group", "_lang"
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -55,24 +64,19 @@ def _beside(s: Column, k: Column) -> Column:
 
 
 def _features(d: DataFrame) -> DataFrame:
-    n, share = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), lambda a, b: F.sqrt(F.col(a) / F.greatest(b, F.lit(1.0)))
-    x = (F.log1p("n_words"), F.log1p(F.col("word_chars") / n), share("n_symbols", F.col("word_chars").cast("double")), share("n_dup_lines", F.col("_n_lines").cast("double")), share("n_repeat_words", n))
-    return d.withColumns({f"x{i}": F.round(c, 6) for i, c in enumerate(x)})
+    """d with the statistics x0.. and v0.., the variance that each has by counting alone: 1 / n for the logarithm of a count of n (and of a mean of n words),
+    1 / 4n for the square root of a share of n."""
+    most = lambda c: F.greatest(F.col(c).cast("double"), F.lit(1.0))
+    n, chars, n_lines = most("n_words"), most("word_chars"), most("_n_lines")
+    x = (F.log1p("n_words"), F.log1p(F.col("word_chars") / n), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / n_lines), F.sqrt(F.col("n_repeat_words") / n))
+    v = (1 / n, 1 / n, 1 / (4 * chars), 1 / (4 * n_lines), RUN / (4 * n))
+    return d.withColumns({f"x{i}": F.round(c, 6) for i, c in enumerate(x)} | {f"v{i}": c for i, c in enumerate(v)})
 
 
 def _grouped(d: DataFrame) -> DataFrame:
-    """d with the group each row is judged in; null: none."""
+    """d with the group each row is judged in, and its language."""
     name = lambda *c: F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("-")) for x in c))
-    own = d.withColumn("_own", name("lang", "source")).withColumn("_lang", name("lang"))
-    counts = own.filter("not base_failed").groupBy("_own", "_lang").agg(F.count("*").alias("_n"))
-    few = F.col("_n") < LEAST
-    counts = counts.withColumn("_nl", F.sum(F.when(few, F.col("_n")).otherwise(0)).over(Window.partitionBy("_lang")))
-    slim = F.col("_nl") < LEAST
-    # the rest of the rest: over all languages, by an aggregate of the table of groups
-    rest = counts.filter(few & slim).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_nr"))
-    counts = counts.crossJoin(F.broadcast(rest))  # one row
-    group = F.when(~few, F.concat(F.lit("s"), F.col("_own"))).when(~slim, F.concat(F.lit("l"), F.col("_lang"))).when(F.col("_nr") >= LEAST, F.lit("a"))
-    return own.join(small(staged(counts.select("_own", group.alias(GROUP)))), "_own", "left").drop("_own", "_lang")
+    return d.withColumn(GROUP, name("lang", "source")).withColumn(LANG, name("lang"))
 
 
 def _slice_at(counts: DataFrame, by: list[str], share: float, name: str) -> DataFrame:
@@ -82,70 +86,127 @@ def _slice_at(counts: DataFrame, by: list[str], share: float, name: str) -> Data
     return counts.withColumn("upto", upto).withColumn("total", total).filter(F.col("upto") >= F.col("total") * share).groupBy(*by).agg(F.min("slice").alias(name))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges of each statistic as a first model."""
-    each = rows.select(GROUP, F.posexplode(F.array(*(F.floor(F.col(f"x{i}") * 64 / FLOORS[i]) for i in range(P)))).alias("stat", "slice"))
+def _once(d: DataFrame, **numbers: str) -> DataFrame:
+    """d with columns that are computed once a row (see `bound`), given as SQL: of the hundreds of terms here each would be a call to the JVM."""
+    return d.selectExpr("*", "inline(array(named_struct(" + ", ".join(f"'{k}', {c}" for k, c in numbers.items()) + ")))")
+
+
+def _middles(fit: DataFrame) -> DataFrame:
+    """For each group its medians m0.., quartile ranges as standard deviations r0.., and floors f0.. of the variances."""
+    each = fit.selectExpr(GROUP, f"posexplode(array({', '.join(f'floor(x{i} * {FINE})' for i in range(P))})) as (stat, slice)")
     counts = staged(each.groupBy(GROUP, "stat", "slice").agg(F.count("*").alias("n")))
     by = [GROUP, "stat"]
     cuts = _slice_at(counts, by, 0.5, "mid").join(_slice_at(counts, by, 0.25, "low"), by).join(_slice_at(counts, by, 0.75, "high"), by)
-    at = lambda i, c: F.max(F.when(F.col("stat") == i, c))
-    mean = [((at(i, F.col("mid")) + 0.5) * FLOORS[i] / 64).alias(f"m{i}") for i in range(P)]
-    spread = [F.greatest(at(i, F.col("high") - F.col("low")) * FLOORS[i] / 64 / 1.349, F.lit(FLOORS[i])) for i in range(P)]
-    return cuts.groupBy(GROUP).agg(*mean, *((s * s).alias(f"g{i}") for i, s in enumerate(spread))).withColumns({f"l{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j})
+    at = lambda i, c: f"max(case when stat = {i} then {c} end) / {FINE}D"
+    cuts = cuts.groupBy(GROUP).agg(*(F.expr(f"{at(i, 'mid + 0.5D')} as m{i}") for i in range(P)), *(F.expr(f"{at(i, 'high - low')} / 1.349D as r{i}") for i in range(P)))
+    floors = fit.groupBy(GROUP, LANG).agg(*(F.expr(f"round(avg(v{i}), 12) as f{i}") for i in range(P)))
+    return floors.join(cuts, GROUP).selectExpr(GROUP, LANG, *(f"f{i}" for i in range(P)), *(f"m{i}" for i in range(P)), *(f"greatest(r{i}, sqrt(f{i})) as r{i}" for i in range(P)))
+
+
+def _starts(fit: DataFrame, middles: DataFrame) -> DataFrame:
+    """Three models for each group around its medians; their correlations: none, those of tanh scores, those of spatial signs."""
+    r = _once(fit.join(small(middles.drop(LANG)), GROUP), **{f"z{i}": f"(x{i} - m{i}) / r{i}" for i in range(P)})
+    norm = f"nullif(sqrt({' + '.join(f'z{i} * z{i}' for i in range(P))}), 0D)"
+    r = _once(_once(r, norm=norm), **{f"t{i}": f"tanh(z{i})" for i in range(P)}, **{f"u{i}": f"coalesce(z{i} / norm, 0D)" for i in range(P)})
+    sums = r.groupBy(GROUP).agg(*(F.expr(f"round(sum({k}{i} * {k}{j}), 9) as {k}{i}{j}") for k in "tu" for i, j in PAIRS))
+    both = staged(middles.join(sums, GROUP))
+
+    def model(start: int, kind: str | None) -> DataFrame:
+        def cov(i: int, j: int) -> str:
+            if i == j or kind is None:
+                return f"r{i} * r{i}" if i == j else "0D"
+            return f"coalesce({kind}{i}{j} / nullif(sqrt({kind}{i}{i} * {kind}{j}{j}), 0D), 0D) * r{i} * r{j}"
 
+        return both.selectExpr(GROUP, LANG, f"{start} as start", *(f"f{i}" for i in range(P)), *(f"m{i}" for i in range(P)), *(f"{cov(i, j)} as c{i}{j}" for i, j in PAIRS))
 
-def _factored(model: DataFrame) -> DataFrame:
-    """m0.. and c00, c10, c11..: the covariance, factored into l (unit lower triangle) and g (diagonal)."""
+    models = _factored(model(0, None).unionAll(model(1, "t")).unionAll(model(2, "u")))
+    return models.drop("logdet").selectExpr("*", "cast('infinity' as double) as logdet", "true as fell")
+
+
+def _factored(model: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """m0.. and c00, c10, c11..: the covariance, factored into l (unit lower triangle) and g (diagonal, no less than the floors); and the columns `kept`."""
+    less = lambda i, j: "".join(f" - l{i}{k} * l{j}{k} * g{k}" if i != j else f" - l{j}{k} * l{j}{k} * g{k}" for k in range(j))
     for j in range(P):
-        c = F.col(f"c{j}{j}")
-        for k in range(j):
-            c = c - F.col(f"l{j}{k}") * F.col(f"l{j}{k}") * F.col(f"g{k}")
-        model = model.withColumn(f"g{j}", F.greatest(c, F.lit(FLOORS[j] ** 2 / 100)))
-        for i in range(j + 1, P):
-            c = F.col(f"c{i}{j}")
-            for k in range(j):
-                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}") * F.col(f"g{k}")
-            model = model.withColumn(f"l{i}{j}", c / F.col(f"g{j}"))
-    return model.select(GROUP, *(f"m{i}" for i in range(P)), *(f"g{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS if i != j))
+        model = _once(model, **{f"g{j}": f"greatest(c{j}{j}{less(j, j)}, f{j})"})
+        if j + 1 < P:
+            model = _once(model, **{f"l{i}{j}": f"(c{i}{j}{less(i, j)}) / g{j}" for i in range(j + 1, P)})
+    return model.selectExpr(GROUP, LANG, "start", *(kept or []), *NUMBERS, f"round({' + '.join(f'ln(g{i})' for i in range(P))}, 9) as logdet")
 
 
 def _distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance; null where the group has no model."""
-    r = rows.join(model, GROUP, "left")
-    total = F.lit(0.0)
+    """rows, once for each model of their group, with d2, the squared Mahalanobis distance; null where the group has no model."""
+    r = rows.join(model.drop(LANG, *TARGET), GROUP, "left")
     for i in range(P):
-        y = F.col(f"x{i}") - F.col(f"m{i}")
-        for k in range(i):
-            y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        r = r.withColumn(f"y{i}", y)
-        total = total + F.col(f"y{i}") * F.col(f"y{i}") / F.col(f"g{i}")
-    return r.withColumn("d2", total).drop(*(f"y{i}" for i in range(P)), *(c for c in model.columns if c != GROUP))
-
-
-def _concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of the SHARE of each group that is nearest under `model`."""
-    at = _distance(rows, model).withColumn("slice", F.floor(F.log1p("d2") * 256))
-    counts = at.groupBy(GROUP, "slice").agg(F.count("*").alias("n"))
-    near = at.join(small(staged(_slice_at(counts, [GROUP], SHARE, "edge"))), GROUP).filter("slice <= edge")
-    x = [F.col(f"x{i}") for i in range(P)]
-    sums = near.groupBy(GROUP).agg(F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(P)), *(F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in PAIRS))
+        r = _once(r, **{f"y{i}": f"x{i} - m{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i))})
+    return _once(r, d2=" + ".join(f"y{i} * y{i} / g{i}" for i in range(P))).drop(*(f"y{i}" for i in range(P)), *NUMBERS)
+
+
+NUMBERS = [*(f"f{i}" for i in range(P)), *(f"m{i}" for i in range(P)), *(f"g{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS if i != j)]
+TARGET = [*(f"ta{i}" for i in range(P)), *(f"tb{i}{j}" for i, j in PAIRS)]
+SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
+
+
+def _nearest(fit: DataFrame, model: DataFrame) -> DataFrame:
+    """For each group and start: number, sums and sums of products of the SHARE of the rows that is nearest."""
+    at = _once(_distance(fit, model), slice=f"floor(ln(1 + d2) * {SLICES})")
+    by = [GROUP, LANG, "start"]
+    cells = at.groupBy(*by, "slice").agg(F.expr("cast(count(*) as double) as n"), *(F.expr(f"sum(x{i}) as s{i}") for i in range(P)), *(F.expr(f"sum(x{i} * x{j}) as q{i}{j}") for i, j in PAIRS))
+    over = f"over (partition by {', '.join(by)}"
+    cells = cells.selectExpr("*", f"{SHARE}D * sum(n) {over}) - coalesce(sum(n) {over} order by slice rows between unbounded preceding and 1 preceding), 0D) as room").filter("room > 0")
+    # the slice that the share ends in counts in part
+    return cells.groupBy(*by).agg(*(F.expr(f"sum({c} * least(1D, room / n)) as {c}") for c in SUMS))
+
+
+def _targets(sums: DataFrame) -> DataFrame:
+    """sums by group (staged). For each language mean ta.. and covariance tb.. that its groups are shrunk to: the language's, shrunk to that of all texts."""
+    total = lambda *by: sums.groupBy(*by).agg(*(F.expr(f"sum({c}) as {c}") for c in SUMS))
+    own = {f"a{i}": f"s{i} / n" for i in range(P)} | {f"b{i}{j}": f"q{i}{j} / n - s{i} / n * s{j} / n" for i, j in PAIRS}
+    every = total().selectExpr(*(f"{c} as all{k}" for k, c in own.items()))
+    return total(LANG).crossJoin(F.broadcast(every)).selectExpr(LANG, *(f"{_mixed(c, f'all{k}')} as t{k}" for k, c in own.items()))  # one row
+
+
+def _mixed(own: str, target: str) -> str:
+    """A mean or covariance of n texts, with PRIOR texts like the target."""
+    return f"n / (n + {PRIOR}) * ({own}) + {PRIOR} / (n + {PRIOR}) * {target}"
+
+
+def _concentrated(fit: DataFrame, model: DataFrame, known: DataFrame) -> DataFrame:
+    """One concentration step of every group and start. What it makes no smaller stays as it was, with `fell` false."""
     # the scatter of the nearest SHARE of a normal sample falls short by this factor
     grow = SHARE / chi2_cdf(chi2_quantile(SHARE, P), P + 2)
-    mean = [F.round(F.col(f"s{i}") / F.col("n"), 9).alias(f"m{i}") for i in range(P)]
-    cov = [(F.round((F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n")) * grow, 9) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
-    return _factored(sums.select(GROUP, *mean, *cov))
+    own = _nearest(fit, known).join(model.withColumnsRenamed({c: f"_{c}" for c in [*NUMBERS, "logdet"]}).drop("fell"), [GROUP, LANG, "start"])
+    mean = [f"round({_mixed(f's{i} / n', f'ta{i}')}, 9) as m{i}" for i in range(P)]
+    cov = [f"round(({_mixed(f'q{i}{j} / n - s{i} / n * s{j} / n', f'tb{i}{j}')}) * {grow}D, 9) as c{i}{j}" for i, j in PAIRS]
+    kept = [*TARGET, *(f"_{c}" for c in [*NUMBERS, "logdet"])]
+    own = own.selectExpr(GROUP, LANG, "start", *kept, *(f"_f{i} as f{i}" for i in range(P)), *mean, *cov)
+    both = _once(_factored(own, kept), fell="logdet < _logdet - 1e-6D")
+    return both.selectExpr(GROUP, LANG, "start", *TARGET, *(f"if(fell, {c}, _{c}) as {c}" for c in [*NUMBERS, "logdet"]), "fell")
+
+
+def estimates(fit: DataFrame) -> DataFrame:
+    """fit: _group, _lang, x0.., v0... One row for each group: its model of the least determinant."""
+    starts = staged(_starts(fit, staged(_middles(fit))))
+    target = _targets(staged(_nearest(fit, small(starts.filter("start = 0")))))
+    model = staged(starts.join(target, LANG))
+    for _ in range(STEPS):
+        n, fell = model.agg(F.count("*"), F.max("fell")).first()
+        if not fell:
+            break
+        new = staged(_concentrated(fit, model, F.broadcast(model) if n <= 50_000 else model))
+        discard(model)
+        model = new
+    first = F.row_number().over(Window.partitionBy(GROUP).orderBy("logdet", "start"))
+    return model.withColumn("_first", first).filter("_first = 1").select(GROUP, LANG, *NUMBERS)
 
 
 def verdicts(stats: DataFrame) -> DataFrame:
     """stats (of `base_statistics`, with lang and source), staged by the caller: the same rows with kept and d2."""
     rows = _grouped(_features(stats))
-    fit = staged(rows.filter(f"not base_failed and {GROUP} is not null").select(GROUP, *(f"x{i}" for i in range(P))))
-    model = small(staged(_start(fit)))
-    for _ in range(STEPS):
-        model = small(staged(_concentrated(fit, model)))
-    judged = _distance(rows, model)
+    fit = staged(rows.filter("not base_failed").select(GROUP, LANG, *(f"x{i}" for i in range(P)), *(f"v{i}" for i in range(P))))
+    judged = _distance(rows, small(staged(estimates(fit))))
+    discard(fit)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(CUTOFF, P), F.lit(True))
-    return judged.withColumn("kept", kept).drop(GROUP, *(f"x{i}" for i in range(P)))
+    return judged.withColumn("kept", kept).drop(GROUP, LANG, *(f"x{i}" for i in range(P)), *(f"v{i}" for i in range(P)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -167,4 +228,3 @@ def passing(docs: DataFrame) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
-
