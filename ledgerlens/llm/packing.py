@@ -1,26 +1,30 @@
 """Packing documents into sequences by bin completion.
 
-The plan is made on the histogram of lengths, which has at most `capacity` rows whatever the number of documents. A
-bin takes the largest length left and a filling for the rest of the room; fillings are enumerated from the largest lengths
-down, those that leave no more waste than the best one so far, and a filling of fewer, larger documents comes before
-those it dominates. The waste of a partial plan bounds it: where total length plus waste needs as many bins as the
-incumbent (at first the first-fit decreasing plan), the branch is cut. A bin found is repeated as often as the counts
-allow, which exhausts a length each time: the plan has at most as many rows as there are lengths.
+The plan is made on the histogram of lengths, which has at most `capacity` rows whatever the number of documents. It is a branch-and-bound search
+(Korf 2002; dominance by Martello and Toth 1990): the next sequence takes the largest length left, and each branch is one undominated filling of
+the rest of its room, those of least waste first and among them those of the largest lengths. Which sums the lengths left can make is known from
+bit sets, so that the least waste is found without trying. A filling is dominated where a length left over fits into its waste, alone or in place of
+shorter ones. The waste of a partial plan bounds it: a plan of no more sequences than the incumbent may waste just so much. The first incumbent is the
+best-fit decreasing plan; every plan that the search completes replaces it, at first also one of as many sequences, since it leaves its waste in fewer
+of them. The search goes back over all fillings and all numbers of their repetition until a plan meets the lower bound, no branch is left, or `nodes`
+fillings were looked at; `Plan.proven` says whether the plan is known to be the best. A filling is at first repeated as often as the counts
+allow, which exhausts a length, so that a dive has about as many steps as there are lengths.
 
 Documents then take places by their rank among those of their length: ranks are counted by (length, bucket of
 documents) and shifted by the counts of the buckets before, so that a length that a third of all documents share is no
-single task.
+single task. The search is a task of its own, on an executor.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import struct
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from random import Random
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,7 +41,21 @@ KEPT, LONG = 1_000_000, 64
 LATIN = re.compile("[\x09-\x0d\x20-\x7eÀ-ÿ]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0d\x20a-zß-öø-ÿ0-9]+")
 SPACES = re.compile(r"[\x09-\x0d\x20]+")
-Bin = tuple[tuple[int, ...], int]
+#: Fillings that a search looks at before it leaves the plan unproven.
+NODES = 20_000
+Run = tuple[int, int]  # a length and how often
+Filling = tuple[Run, ...]  # longest first
+
+
+class Plan(NamedTuple):
+    bins: list[tuple[Filling, int]]  # a filling and how many sequences have it
+    least: int  # no plan has fewer sequences
+    proven: bool  # no plan has fewer sequences than this one
+    searched: bool  # the bins come from the search, not from best fit
+
+    @property
+    def size(self) -> int:
+        return sum(times for _, times in self.bins)
 
 
 class Kept:
@@ -102,7 +120,10 @@ def ids(path: str) -> Ids:
 
 
 def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, on demand, the ids (binary, little-endian unsigned 32-bit) of each piece."""
+    """docs: doc_id, text. doc_id, piece, start, length, ids_crc32 and, on demand, the ids (binary, little-endian unsigned 32-bit) of each piece.
+
+    A null or empty text is one piece, the closing id alone; repeated rows and null doc_ids have pieces of their own; other columns are neither read nor
+    returned; an empty table gives an empty result."""
     ship(docs.sparkSession)
     close = np.array([CLOSE], "<u4").tobytes()
 
@@ -121,138 +142,235 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", path: str | None =
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[Bin]:
-    """First-fit decreasing on a histogram, bin after bin with the largest length that fits, equal bins together."""
-    left = {n: k for n, k in counts.items() if k > 0}
-    order = sorted(left)
-    out: list[Bin] = []
-    while order:
-        room, filling, own, end = capacity, [], {}, len(order)
-        while True:
-            at = bisect_right(order, room, 0, end) - 1
-            while at >= 0 and own.get(order[at], 0) >= left[order[at]]:
-                at -= 1
-            if at < 0:
-                break
-            n, end = order[at], at + 1  # what fits later is no longer than this
-            filling.append(n)
-            own[n] = own.get(n, 0) + 1
-            room -= n
-        times = min(left[n] // k for n, k in own.items())
-        out.append((tuple(filling), times))
-        for n, k in own.items():
-            left[n] -= times * k
-            if not left[n]:
-                del left[n], order[bisect_left(order, n)]
-    return out
-
-
-def fillings(left: dict[int, int], order: list[int], room: int, worst: int, nodes: int, many: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Up to `many` undominated fillings of `room` by (waste, lengths), least waste first, none of more waste than `worst`.
-
-    order: the lengths left, descending. A filling is only kept if nothing left over fits into its waste."""
-    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    seen, best = 0, worst
-    runs: list[tuple[int, int]] = []  # (length, how many) on the way to the node
-
-    def steps(room: int, at: int) -> Iterator[tuple[int, int, int]]:
-        """What comes next: a length that fits, how many of it, most first, and the place after it."""
-        for k in range(at, len(order)):
-            n = order[k]
-            for many_of in range(min(left[n], room // n), 0, -1):
-                yield n, many_of, k + 1
-
-    def visit(room: int, at: int) -> Iterator[tuple[int, int, int]]:
-        nonlocal seen, best
-        seen += 1
-        if room and seen <= nodes:
-            if left.get(room, 0) and (not runs or room < runs[-1][0]):  # an exact fit dominates all else
-                found.append((0, (*runs, (room, 1))))
-                best = 0
-                return iter(())
-            lo, hi = at, len(order)
-            while lo < hi:
-                mid = (lo + hi) // 2
-                lo, hi = (mid + 1, hi) if order[mid] > room else (lo, mid)
-            if lo < len(order):
-                return steps(room, lo)
-            if any(n <= room and k < left[n] for n, k in runs):
-                return iter(())
-        if room <= best:
-            found.append((room, tuple(runs)))
-            best = room if len(found) >= many else best
-        return iter(())
-
-    # frames of (room, steps): as deep as there are lengths in a filling, not documents
-    stack = [(room, visit(room, 0))]
-    while stack and seen <= nodes and not (best == 0 and len(found) >= many):
-        room, further = stack[-1]
-        if (step := next(further, None)) is None:
-            stack.pop()
-            if runs:
-                runs.pop()
-            continue
-        n, k, at = step
-        runs.append((n, k))
-        stack.append((room - n * k, visit(room - n * k, at)))
-    first = sorted(dict.fromkeys(found), key=lambda x: (x[0], sum(k for _, k in x[1])))[:many]
-    return [(waste, tuple(n for n, k in own for _ in range(k))) for waste, own in first]
-
-
-def complete(counts: dict[int, int], capacity: int, dives: int = 24, nodes: int = 3000) -> list[Bin]:
-    """Bin completion: dives that take the best filling everywhere but at one chosen depth, bounded by the incumbent's bins."""
-    total = sum(n * k for n, k in counts.items())
-    least = math.ceil(total / capacity)
-    best = best_fit(counts, capacity)
-    most = sum(t for _, t in best)
-    for turn in range(dives):
-        if most <= least:
-            break
-        depth, choice = (turn - 1) // 3, (turn - 1) % 3 + 1
-        left = {n: k for n, k in counts.items() if k > 0}
-        order, plan, waste, step, used = sorted(left, reverse=True), [], 0, 0, 0
-        while order:
-            first = order[0]
-            left[first] -= 1
-            allowed = (most - 1) * capacity - total - waste  # beyond this waste the plan is no better than the incumbent
-            if allowed < 0:
-                break
-            open_ = order if left[first] else order[1:]
-            other = choice if turn and step == depth else 0
-            found = fillings(left, open_, capacity - first, allowed, nodes, other + 1) if open_ else [(capacity - first, ())]
-            left[first] += 1
-            if not found:
-                break
-            gap, rest = found[min(other, len(found) - 1)]
-            filling = (first, *rest)
-            times = min(left[n] // filling.count(n) for n in set(filling))
-            if gap:
-                times = min(times, max(1, allowed // gap))
-            plan.append((filling, times))
-            waste, used, step = waste + gap * times, used + times, step + 1
-            for n in set(filling):
-                left[n] -= times * filling.count(n)
-            order = [n for n in order if left[n]]
-        if not order and used < most:
-            best, most = plan, used
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """Best-fit decreasing on a histogram: each length goes to the open sequences of the least room that it fits into, equal sequences together."""
+    out: list[tuple[Filling, int]] = []
+    rooms: list[int] = []
+    open_: dict[int, list[tuple[Filling, int]]] = {}
+    shortest = min(counts, default=0)
+
+    def put(room: int, filling: Filling, times: int) -> None:
+        if room < shortest and times:
+            out.append((filling, times))
+        elif times:
+            if room not in open_:
+                insort(rooms, room)
+            open_.setdefault(room, []).append((filling, times))
+
+    for n in sorted(counts, reverse=True):
+        k = counts[n]
+        while k:
+            if (at := bisect_left(rooms, n)) < len(rooms):
+                room = rooms[at]
+                filling, times = open_[room].pop()
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            else:
+                room, filling, times = capacity, (), -(-k // (capacity // n))
+            each = room // n  # what a sequence has taken makes it the one of least room again
+            full = min(times, k // each)
+            put(room - each * n, (*filling, (n, each)), full)
+            k, times = k - full * each, times - full
+            if k and times:
+                put(room - k * n, (*filling, (n, k)), 1)
+                k, times = 0, times - 1
+            put(room, filling, times)
+    return out + [b for own in open_.values() for b in own]
+
+
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound (Martello and Toth's L2): those over half the capacity are alone among themselves, and the others of at least `a` need what room they leave."""
+    n = np.array(sorted(counts), np.int64)
+    k = np.array([counts[x] for x in n.tolist()], np.int64)
+    number, length = (np.concatenate([[0], np.cumsum(x)]).tolist() for x in (k, n * k))
+    half = int(np.searchsorted(n, capacity // 2, "right"))
+    best = -(-length[-1] // capacity)
+    for a in [0, *n[:half].tolist()]:
+        low, high = int(np.searchsorted(n, a)), int(np.searchsorted(n, capacity - a, "right"))
+        high = max(high, half)
+        free = (number[high] - number[half]) * capacity - (length[high] - length[half])
+        best = max(best, number[-1] - number[half] + max(0, -(-(length[half] - length[low] - free) // capacity)))
     return best
 
 
-def places(plan: list[Bin]) -> pd.DataFrame:
-    """For each length, ranges of ranks: rank lo + i (i < times) goes to sequence first + i at `offset`."""
+def _grown(sums: int, n: int, most: int, within: int) -> int:
+    """The sums (a bit each) with up to `most` times n added."""
+    part = 1
+    while most > 0:
+        part = min(part, most)
+        sums |= (sums << n * part) & within
+        most, part = most - part, part * 2
+    return sums
+
+
+def _spread(sums: int, by: int) -> int:
+    """The sums and those up to `by` more."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        sums |= sums << step
+        done += step
+    return sums
+
+
+def dominated(filling: Filling, waste: int, left: dict[int, int], open_: int) -> bool:
+    """Does a length left over fit into the waste, alone or in place of shorter ones? left: before the filling, open_: its lengths as bits."""
+    own, sums = 0, 1
+    for n, k in filling:
+        own |= 1 << n
+        sums = _grown(sums, n, k, -1)
+    if _spread(sums, waste) & open_ & ~own:
+        return True
+    for n, k in filling:
+        if left[n] > k:  # one more of a length that the filling has: in place of others
+            sums = 1
+            for m, j in filling:
+                if m < n:
+                    sums = _grown(sums, m, j, -1)
+            if _spread(sums, waste) >> n & 1:
+                return True
+    return False
+
+
+def _fillings_of(total: int, upto: int, lengths: list[int], left: dict[int, int], sums: list[int], low: int = 1) -> Iterator[Filling]:
+    """Fillings of just `total` by the first `upto` lengths, the last of them not before number `low`; sums[i]: what the first i make."""
+    if not total:
+        yield ()
+        return
+    a, b = low, upto + 1
+    while a < b:  # what the first i make, the first i + 1 make
+        mid = (a + b) // 2
+        a, b = (a, mid) if sums[mid] >> total & 1 else (mid + 1, b)
+    for last in range(a, upto + 1):
+        n = lengths[last - 1]
+        for k in range(1, min(left[n], total // n) + 1):
+            if sums[last - 1] >> total - n * k & 1:
+                for rest in _fillings_of(total - n * k, last - 1, lengths, left, sums):
+                    yield (*rest, (n, k))
+
+
+def fillings(left: dict[int, int], order: list[int], open_: int, room: int, allowed: int) -> Iterator[tuple[int, Filling | None]]:
+    """The undominated fillings of `room` as (waste, filling), least waste first, none of more waste than `allowed`; for those that are dominated None.
+
+    order: the lengths, ascending; open_: those that are left, as bits. An exact filling by the largest lengths comes before all sums are made."""
+    within, lengths, sums, first = (1 << room + 1) - 1, [], [1], 0
+    open_ &= within
+    for at in range(bisect_right(order, room) - 1, -1, -1):
+        n = order[at]
+        if left[n]:
+            lengths.append(n)
+            sums.append(_grown(sums[-1], n, min(left[n], room // n), within))
+            if not first and sums[-1] >> room & 1:
+                first = len(lengths)
+                for f in _fillings_of(room, first, lengths, left, sums):
+                    yield 0, None if dominated(f, 0, left, open_) else f
+    for waste in range(min(allowed, room) + 1):
+        if sums[-1] >> room - waste & 1:
+            for f in _fillings_of(room - waste, len(lengths), lengths, left, sums, 1 if waste else first + 1):
+                yield waste, None if dominated(f, waste, left, open_) else f
+
+
+class _Search:
+    """Bin completion over the lengths left; `plan` is the best so far."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, nodes: int):
+        self.capacity, self.nodes = capacity, nodes
+        self.left = {n: k for n, k in counts.items() if k > 0}
+        self.order = sorted(self.left)
+        self.open = sum(1 << n for n in self.order)
+        self.least = least_sequences(self.left, capacity)
+        self.plan = best_fit(self.left, capacity)
+        self.most = sum(t for _, t in self.plan)  # sequences that a plan may have
+        self.total = sum(n * k for n, k in self.left.items())
+        self.used = self.waste = self.state = 0
+        marks = Random(0)
+        self.mark = {n: marks.getrandbits(128) for n in self.order}  # a state is the sum of the marks of the documents placed
+
+    def allowed(self) -> int:
+        return self.most * self.capacity - self.total - self.waste
+
+    def take(self, filling: Filling, times: int) -> None:
+        """Places `times` sequences; a negative number takes them back."""
+        for n, k in filling:
+            before = self.left[n]
+            self.left[n] = now = before - k * times
+            self.state += self.mark[n] * k * times
+            if bool(before) != bool(now):
+                self.open ^= 1 << n
+                if now:
+                    insort(self.order, n)
+                else:
+                    del self.order[bisect_left(self.order, n)]
+        self.used += times
+        self.waste += times * (self.capacity - sum(n * k for n, k in filling))
+
+    def branches(self) -> Iterator[tuple[Filling, int]]:
+        """Fillings of the next sequence and how many sequences get them, most first."""
+        longest, room, order = self.order[-1], self.capacity - self.order[-1], self.order.copy()
+        self.left[longest] -= 1
+        rest = dict(self.left) if self.left[longest] else {n: k for n, k in self.left.items() if n != longest}
+        rest.setdefault(longest, 0)
+        self.left[longest] += 1
+        for waste, f in fillings(rest, order, self.open if rest[longest] else self.open ^ 1 << longest, room, self.allowed()):
+            self.nodes -= 1
+            if self.nodes <= 0 or waste > self.allowed():
+                return
+            if f is None:
+                continue
+            whole = ((longest, 1 + f[0][1]), *f[1:]) if f and f[0][0] == longest else ((longest, 1), *f)
+            most = min(self.left[n] // k for n, k in whole)
+            for times in range(min(most, self.allowed() // waste) if waste else most, 0, -1):
+                if self.nodes <= 0 or waste * times > self.allowed():
+                    break
+                yield whole, times
+
+    def run(self) -> Plan:
+        seen: dict[int, int] = {}
+        stack = [(self.branches(), None)] if self.order else []
+        searched = not self.order
+        while stack and self.nodes > 0:
+            branch = next(stack[-1][0], None)
+            if branch is None:
+                if (done := stack.pop()[1]) is not None:
+                    self.take(done[0], -done[1])
+                continue
+            self.take(*branch)
+            if not self.order:
+                if self.used <= self.most:
+                    self.plan = [own for _, own in stack[1:]] + [branch]
+                    self.most, searched = self.used - 1, True
+                    if self.used <= self.least:
+                        return Plan(self.plan, self.least, True, True)
+            elif self.allowed() >= 0 and self.used + 1 <= self.most and seen.get(self.state, self.used + 1) > self.used:
+                seen[self.state] = self.used
+                stack.append((self.branches(), branch))
+                continue
+            self.take(branch[0], -branch[1])
+        return Plan(self.plan, self.least, self.nodes > 0 or sum(t for _, t in self.plan) == self.least, searched)
+
+
+def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> Plan:
+    """Bin completion of a histogram of lengths, none of which is over the capacity."""
+    return _Search(counts, capacity, nodes).run()
+
+
+def places(plan: Plan) -> pd.DataFrame:
+    """For each length, ranges of ranks: rank lo + i goes to sequence first + i % times, at offset at + i // times * length."""
     rows, taken, first = [], {}, 0
-    for filling, times in plan:
+    for filling, times in plan.bins:
         at = 0
-        for n in filling:
-            rows.append((n, taken.get(n, 0), first, at))
-            taken[n] = taken.get(n, 0) + times
-            at += n
+        for n, k in filling:
+            rows.append((n, taken.get(n, 0), first, at, times))
+            taken[n] = taken.get(n, 0) + times * k
+            at += n * k
         first += times
-    return pd.DataFrame(rows, columns=["length", "lo", "first", "offset"]).sort_values(["length", "lo"], kind="stable")
+    return pd.DataFrame(rows, columns=["length", "lo", "first", "at", "times"], dtype="int64").sort_values(["length", "lo"], kind="stable")
 
 
 def ranked(cut: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
-    """cut with `rank`, from 0 among the rows of a length, without bringing the rows of a length together."""
+    """cut (of `pieces`, staged) with `rank`, from 0 among the rows of a length, without bringing the rows of a length together.
+
+    Repeated rows get ranks of their own, in any order; null doc_ids come first in their bucket; an empty table gives an empty result."""
     buckets = min(65_536, max(32, cut.count() // bucket_rows))
     own = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     before = own.groupBy("length", "bucket").agg(F.count("*").alias("n"))
@@ -268,17 +386,24 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, **vo
     other columns are neither read nor returned; an empty table gives an empty result.
     """
     cut = staged(pieces(docs, capacity=capacity, with_ids=with_ids, **vocabulary_of))
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    at = places(complete(counts, capacity))
-    length, lo, first, offset = (at[c].to_numpy(np.int64) for c in ("length", "lo", "first", "offset"))
+
+    def searched(histogram: pd.DataFrame) -> pd.DataFrame:
+        return places(complete(dict(zip(histogram["length"].tolist(), histogram["n"].tolist(), strict=True)), capacity))
+
+    # one task, on an executor, whatever the number of documents; its result has a row for each run of equal lengths in a filling
+    counts = cut.groupBy("length").agg(F.count("*").alias("n")).withColumn("one", F.lit(0))  # at most `capacity` rows
+    at = staged(counts.groupBy("one").applyInPandas(searched, "length long, lo long, first long, at long, times long")).orderBy("length", "lo").toPandas()
+    length, lo, first, offset, times = (at[c].to_numpy(np.int64) for c in ("length", "lo", "first", "at", "times"))
     # one sorted key for (length, lo): documents of a length have ranks below 2 ** 48
     key = (length << 48) | lo
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rank = b["rank"].to_numpy(np.int64)
-            k = np.searchsorted(key, (b["length"].to_numpy(np.int64) << 48) | rank, "right") - 1
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), **{c: b[c] for c in ("piece", "start", "length", "ids_crc32")}, "sequence_id": first[k] + rank - lo[k], "offset": offset[k], **{c: b[c] for c in ["ids"] * with_ids}})
+            rank, n = b["rank"].to_numpy(np.int64), b["length"].to_numpy(np.int64)
+            k = np.searchsorted(key, (n << 48) | rank, "right") - 1
+            i = rank - lo[k]
+            at = {"sequence_id": first[k] + i % times[k], "offset": offset[k] + i // times[k] * n}
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), **{c: b[c] for c in ("piece", "start", "length", "ids_crc32")}, **at, **{c: b[c] for c in ["ids"] * with_ids}})
 
     given = ranked(cut).withColumn("doc_id", F.col("doc_id").cast("string"))
     return given.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids)
@@ -286,7 +411,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, **vo
 
 def sequences(packed: DataFrame) -> DataFrame:
     """packed (with ids). One row per sequence: sequence_id, n_tokens, ids (little-endian unsigned 32-bit, the pieces in order). A sequence is no longer
-    than the capacity, and so is its group."""
+    than the capacity, and so is its group. A null or repeated doc_id makes no difference, nor do other columns; no rows: no sequences."""
     by = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("own"))
     return by.select("sequence_id", "n_tokens", F.aggregate("own", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
