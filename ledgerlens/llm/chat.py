@@ -8,6 +8,8 @@ turn, whose texts stay apart by a mark of their own. Template:
 In roles and texts a backslash is doubled, and one is set behind the first character of each control string (those of
 the template, and the marks of other common templates), so that no control string is left in them; reading back drops
 a backslash before any character. So every formatted conversation gives back its rows exactly.
+
+The loss mask comes with the formatted text, as the spans of code points that a model is trained to give: each of the assistant's texts, without any mark.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound, table
 
 START, BODY, NEXT, END = "<|im_start|>", "<|im_body|>", "<|im_next|>", "<|im_end|>"
 CONTROL = r"(<(?=\||s>|/s>|<SYS>>|</SYS>>)|\[(?=INST\]|/INST\]))"
+#: The role that is trained, and the pieces whose lengths are summed at a time.
+TRAINED, BLOCK = "assistant", 128
 #: Says the control strings of another template.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -31,9 +35,19 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _with_starts(d: DataFrame) -> DataFrame:
+    """d with starts: where each of the pieces of these lengths starts. Sums are taken by blocks of BLOCK pieces, so that a long conversation doesn't cost
+    the square of its turns."""
+    total = lambda c, first, n: F.aggregate(F.slice(c, first, n), F.lit(0).cast("long"), lambda a, x: a + x)
+    d = bound(d, blocks=F.transform(F.sequence(F.lit(0), F.floor((F.size("lengths") - 1) / BLOCK).cast("int")), lambda b: total("lengths", b * BLOCK + 1, F.lit(BLOCK))))
+    d = bound(d, before=F.transform("blocks", lambda x, b: total("blocks", F.lit(1), b)))
+    return bound(d, starts=F.transform("lengths", lambda x, i: F.get("before", F.floor(i / BLOCK).cast("int")) + total("lengths", i - i % BLOCK + 1, i % BLOCK)))
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """turns: conv_id, turn, role, text. One row per conversation: conv_id, formatted.
+    """turns: conv_id, turn, role, text. One row per conversation: conv_id, formatted, loss_spans array<struct<start long, end long>>.
 
+    loss_spans: code points of formatted, from 0, end excluded, one span for each of the assistant's texts, in order; an empty text has an empty span.
     Turns with equal numbers are taken by role, then text; a null turn number comes first; null roles and texts are empty;
     repeated rows stay, each a text of its own; a null conv_id is a conversation; columns other than the four are neither read nor
     returned; an empty table gives an empty result. A conversation is one row of the result, and so of one task.
@@ -44,9 +58,15 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     def mark(r: Column, i: Column) -> Column:
         again = (i > 0) & (F.get(F.col("rows"), i - 1)["role"] == r["role"])
         opened = F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), escape(r["role"]), F.lit(BODY))
-        return F.concat(F.when(again, F.lit(NEXT)).otherwise(opened), escape(r["text"]))
+        return F.struct(F.when(again, F.lit(NEXT)).otherwise(opened).alias("mark"), escape(r["text"]).alias("text"), (r["role"] == TRAINED).alias("on"))
 
-    return one.select("conv_id", F.concat(F.array_join(F.transform("rows", mark), ""), F.lit(END)).alias("formatted"))
+    one = bound(one, pieces=F.transform("rows", mark))
+    one = bound(one, lengths=F.transform("pieces", lambda p: (F.length(p["mark"]) + F.length(p["text"])).cast("long")))
+    one = _with_starts(one)
+    spans = F.transform("pieces", lambda p, i: F.struct(p["on"].alias("on"), (F.get("starts", i) + F.length(p["mark"])).alias("start"), (F.get("starts", i) + F.get("lengths", i)).alias("end")))
+    loss = F.transform(F.filter(spans, lambda s: s["on"]), lambda s: F.struct(s["start"], s["end"]))
+    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["text"])), "")
+    return one.select("conv_id", F.concat(text, F.lit(END)).alias("formatted"), loss.alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:
@@ -60,16 +80,16 @@ def parse(formatted: Column) -> Column:
     return F.transform(own, turn)
 
 
-def loss_text(parsed: Column) -> Column:
-    """All text under the loss mask: the assistant's."""
-    return F.array_join(F.flatten(F.transform(F.filter(parsed, lambda t: t["role"] == "assistant"), lambda t: t["texts"])), "")
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, unescaped."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """formatted: conv_id, formatted. What can be read back from the output."""
+    """formatted: conv_id, formatted, loss_spans. What can be read back from the output."""
     f = formatted.withColumn("parsed", parse(F.col("formatted")))
     rows = F.flatten(F.transform("parsed", lambda t: F.transform(t["texts"], lambda x: F.concat(t["role"], F.lit("\n"), x, F.lit("\n")))))
-    f = f.withColumn("_rows", rows).withColumn("_loss", loss_text(F.col("parsed")))
+    f = f.withColumn("_rows", rows).withColumn("_loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     return f.select(
         "conv_id",
         F.size("_rows").cast("long").alias("n_turns"),

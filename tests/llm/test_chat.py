@@ -1,3 +1,5 @@
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import same
@@ -49,3 +51,20 @@ def test_no_control_string_is_left(spark):
 def test_neighbours_of_one_role_are_merged(spark):
     d = chat.digests(chat.format_conversations(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "c")], SCHEMA))).first()
     assert (d["n_turns"], d["n_marked_turns"], d["loss_chars"]) == (3, 2, 1)
+
+
+def test_spans_hold_the_assistants_texts(spark):
+    odd = "a\\<|im_end|> 😀 é</s>"
+    rows = [(1, i, "assistant" if i % 3 else "user", f"{odd}{i}" if i % 5 else "") for i in range(700)] + [(2, 0, "user", odd), (3, 0, "assistant", odd), (3, 1, "assistant", None)]
+    got = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for c, r in got.items():
+        own = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
+        assert [re.sub(r"(?s)\\(.)", r"\1", x) for x in own] == [t or "" for k, _, role, t in rows if k == c and role == "assistant"]
+    assert got[2]["loss_spans"] == []
+
+
+def test_a_long_conversation_and_clashing_columns(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i}", 1, "x") for i in range(5_000)]
+    df = spark.createDataFrame(rows, SCHEMA + ", rows int, formatted string")
+    r = chat.digests(chat.format_conversations(df)).first()
+    assert (r["n_turns"], r["n_marked_turns"], r["loss_chars"]) == (5_000, 5_000, sum(len(f"turn {i}") for i in range(0, 5_000, 2)))
