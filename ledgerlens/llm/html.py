@@ -27,11 +27,12 @@ from .common import ship, table
 
 PAGES, SEED, STEPS, PENALTY = 1000, 5, 200, 2e-6
 
-#: Elements whose content is never text of the page.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video")
+#: Elements whose content is never text of the page: code, drawings, what isn't shown, and notices in place of media. What `noscript` and `object` hold is
+#: text as any other.
+RAW = ("script", "style", "template", "svg", "iframe", "canvas", "audio", "video")
 #: Their ends, which those of other names and with attributes are not taken for.
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br input".split()) | frozenset(
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr object q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br input".split()) | frozenset(
     "math maction annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -203,6 +204,8 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> Iterator[tuple[str,
         return a + r.choice((prose(1, 4), f"<p>{prose(1, 3)}</p>", link(some(3, 9)), f"<p>{r.choice(('Advertisement', 'Sponsored'))}</p><p>{prose(1, 2)}</p>")) + b
 
     def notice() -> str:
+        if r.random() < 0.1:
+            return f"<noscript>{r.choice((prose(1, 2), f'<p>{prose(1, 2)}</p>', some(2, 6)))}</noscript>"
         a, b = named(r.choice(("div", "div", "section", "p", "aside")), "notice", "cookie", "cookie-banner", "cookie-notice", "consent", "alert", "gdpr", "paywall", "message", "warning", "popup", "modal", "disclaimer")
         if r.random() < 0.3:
             a = a.replace(">", f' role="{r.choice(("alert", "dialog", "status"))}">', 1)
@@ -254,7 +257,8 @@ def labelled_pages(count: int = PAGES, seed: int = SEED) -> Iterator[tuple[str,
                 k = r.randrange(len(w))
                 w[k] = r.choice(("<b>{}</b>", "<em>{}</em>", '<a href="/x">{}</a>', "<code>{}</code>", "<span>{}</span>")).format(w[k])
                 marked = " ".join(w)
-            return f"<p>{marked}" + r.choice(("</p>", "</p>", "</p>", "")), [plain]
+            whole = f"<p>{marked}" + r.choice(("</p>", "</p>", "</p>", ""))
+            return r.choice(("<noscript>{}</noscript>", "<object data=x>{}</object>")).format(whole) if r.random() < 0.02 else whole, [plain]
         if how < 0.72:
             k, s = r.choice((2, 2, 3, 4)), some(1, 8)
             return f"<h{k}>{s}</h{k}>", [s]
