@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import discard, small, staged, table
 
 WIDTH = 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -37,11 +37,15 @@ def windows(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, _t and gone: the numbers (among the lines that hold a word) of the lines that go."""
+    """doc_id, _t and gone: the numbers (among the lines that hold a word) of the lines that go. Repeated rows are one document; null doc_ids come first."""
     every = staged(windows(docs))
+    # counts of long numbers are hashed, not sorted; only what repeats is put in order
+    often = staged(every.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+    again = staged(every.join(small(often, 200_000), ["h1", "h2"]))
+    discard(every), discard(often)
     at = F.struct("doc_id", "_t", "k")
-    first = every.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = every.join(first, ["h1", "h2"]).filter(at != F.col("first"))
+    first = again.groupBy("h1", "h2").agg(F.min(at).alias("first"))
+    later = again.join(first, ["h1", "h2"]).filter(at != F.col("first"))
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_t") == F.col("first._t"))
     start = F.when(same, F.greatest(F.col("k"), F.col("first.k") + WIDTH)).otherwise(F.col("k"))
     spans = later.select("doc_id", "_t", F.struct(start.alias("a"), (F.col("k") + WIDTH - 1).alias("b")).alias("span"))
@@ -49,21 +53,28 @@ def repeated(docs: DataFrame) -> DataFrame:
     return merged.select("doc_id", "_t", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"])))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and any others) with the lines of later occurrences removed from text, and n_lines, n_removed long.
+def _light(gone: DataFrame, rows: int = 50_000, numbers: int = 1_000_000) -> DataFrame:
+    """A staged table of lines that go, marked for broadcast if it has at most that many rows and numbers: then no text is shuffled."""
+    n, m = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    return F.broadcast(gone) if n <= rows and m <= numbers else gone
+
+
+def dedup_lines(docs: DataFrame, count: bool = True) -> DataFrame:
+    """docs (doc_id, text and any others) with the lines of later occurrences removed from text, and, on demand, n_lines, n_removed long, which
+    replace columns of these names.
 
     A null text stays null and an empty one empty; a text of fewer than three lines with a word has no window and stays as
     it is; a text all of whose lines go becomes empty, its row stays; rows that repeat one doc_id and text count as one document, and
     all change alike; a null doc_id comes before all others; where docs has n_chars, it follows the text; an empty table gives an empty result.
     """
     own = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), F.col("text").alias("_text"))
-    gone = repeated(docs)
+    gone = _light(staged(repeated(docs)))
     both = own.join(gone, own["_id"].eqNullSafe(gone["doc_id"]) & (own["_h"] == gone["_t"]), "left")
     n = both.select("_row", "_text", "gone", F.when(F.col("gone").isNotNull(), lines(F.col("_text"))).alias("all"), F.when(F.col("gone").isNotNull(), _filled(F.col("_text"))).alias("full"))
     dropped = F.transform("gone", lambda k: F.get(F.col("full"), k)["at"])
     n = n.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("all") - 1), dropped))
     n = n.withColumn("text", F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform("stay", lambda i: F.get(F.col("all"), i)), "\n")))
-    counts = {"n_lines": F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    counts = {} if not count else {"n_lines": F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1).cast("long"), "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
     kept = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns if c not in counts]
     return n.select(*kept, *(v.alias(k) for k, v in counts.items()))
 
