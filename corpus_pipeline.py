@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm.common import shared_dir, table
+from ledgerlens.llm.common import discard, shared_dir, table
 from ledgerlens.llm.linededup import dedup_lines
 from ledgerlens.llm.mixing import mixed
 from ledgerlens.llm.packing import pack
@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents without the lines of repeated three-line windows."""
-    return dedup_lines(docs).select(*docs.columns)
+    return dedup_lines(docs, count=False)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over all documents; what lies between is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over all documents; what lies between is written to the shared folder, and deleted once the next stage is.
+
+    An empty table gives an empty result; what each stage makes of nulls, empty and repeated rows its operator says. The documents'
+    other columns are carried along up to the last stage.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            discard(before)
+        before = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)  # packing has written all pieces by now
+    return out

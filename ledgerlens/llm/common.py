@@ -9,7 +9,7 @@ from ..functions.columns import bound
 from ..functions.deploy import ship
 from ..sources.staging import discard, shared_dir, small, spread, staged
 
-__all__ = ["bound", "discard", "n_words", "shared_dir", "ship", "small", "spread", "staged", "table", "words"]
+__all__ = ["bound", "discard", "fresh", "n_words", "shared_dir", "ship", "small", "spread", "staged", "table", "words"]
 
 #: Words are runs of characters other than the six ASCII white space characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,3 +31,10 @@ def n_words(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A name like this that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

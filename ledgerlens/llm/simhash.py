@@ -7,9 +7,12 @@ distance 2 or less share one (the codeword nearest to a word midway between them
 on (untouched segment, a Golay key of the next segment) for one of the three segments: the candidates are joined on that and
 verified by counting differing bits.
 
-Equal fingerprints are one node before any join. Lists longer than `max_list` aren't joined: each of their
-fingerprints names the 65 words within one bit of it instead, and any that share such a word are within two bits of
-each other, so that a star to the smallest of them is exact, with no pair of a large group emitted and no link lost.
+Equal fingerprints are one node before any join. A list of n different fingerprints costs the square of n as pairs, which a crowd of near copies makes
+too many. The members of lists longer than `max_list` are therefore verified by a star instead, with 65 rows for each and no pair emitted: each names the
+words within one bit of it, and all that name a word are joined to the smallest of them. This is exact. Two that name one word w differ from it in one
+bit each, so from each other in two at most: no link too many. Two that differ in two bits or fewer both name the word that has one of the differing bits of
+one and all others of the other (or either of them, if they differ in one): no link is lost. Which lists are crowded only decides how their members are
+verified; the components are the same for every `max_list`, which the tests show against all pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, staged, table
+from .common import fresh, ship, staged, table
 from .components import components
 
 SEED, WIDTH, DISTANCE = 42, 3, 2
@@ -142,7 +145,9 @@ def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fingerprint_links(prints: DataFrame, max_list: int = 64) -> DataFrame:
-    """prints: distinct fp (long). Edges (u, v) that join exactly the fingerprints reachable by links of DISTANCE bits or fewer."""
+    """prints: distinct fp (long). Edges (u, v) that join exactly the fingerprints reachable by links of DISTANCE bits or fewer.
+
+    Null fingerprints have no keys and no edges; repeated ones add nothing; no fingerprints: no edges; other columns aren't read."""
     ship(prints.sparkSession)
 
     @F.pandas_udf("array<long>")
@@ -181,7 +186,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group of near-duplicates; one with the smallest doc_id stays. Every column is kept.
 
     Of repeated rows with that doc_id one stays; a group without any doc_id keeps one row."""
-    own = "_near_duplicate_row"
+    own = fresh("row", docs.columns)
     held = staged(docs.withColumn(own, F.monotonically_increasing_id()))  # numbers that later reads repeat
     found = near_duplicates(held.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(own).alias("row")).alias("doc_id"), "text"))
     first = found.filter("component_id = doc_id").select(F.col("doc_id.row").alias(own))

@@ -25,6 +25,7 @@ def test_odd_lines(spark):
     df = spark.createDataFrame([(2, text, 9), (1, text, 9), (1, text, 9), (3, None, 9), (4, "", 9), (None, "x\ny\nz", 9), (5, "q\nx\ny\nz\nr", 9)], "doc_id long, text string, n_lines int")
     got = sorted(((x["doc_id"], x["text"], x["n_removed"]) for x in linededup.dedup_lines(df).collect()), key=repr)
     assert got == sorted([(1, text, 0), (1, text, 0), (2, "", 4), (3, None, 0), (4, "", 0), (None, "x\ny\nz", 0), (5, "q\nr", 3)], key=repr)
+    assert {x["n_lines"] for x in linededup.dedup_lines(df, count=False).collect()} == {9}
     assert linededup.dedup_lines(df.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "\n".join(f"l{i % 7}" for i in range(30_000)))], SCHEMA)
     assert linededup.dedup_lines(long).first()["n_removed"] > 29_000
@@ -79,6 +80,19 @@ def test_links_against_brute_force(spark):
     assert links(spark, prints, max_list=3) == want
 
 
+def test_crowded_lists_are_verified_by_stars(spark):
+    """Some 300 different fingerprints around one, in lists beyond the default limit, beside some that are three bits off."""
+    r = random.Random(2)
+    centre = r.getrandbits(64)
+    prints = {centre ^ sum(1 << b for b in r.sample(range(64), k)) for k in (0, 1, 1, 2, 2, 5) for _ in range(60)}
+    prints |= {centre ^ (1 << b) for b in range(64)} | {centre ^ 0b111 ^ (7 << 40), r.getrandbits(64)}
+    prints = sorted(prints)
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    lists = df.rdd.flatMap(lambda x: simhash.fingerprint_keys(__import__("numpy").array([x[0]]))[0]).countByValue()
+    assert max(lists.values()) > 64
+    assert links(spark, prints) == clusters(prints)
+
+
 def test_query_against_brute_force(spark, documents):
     got = {x["doc_id"]: (x["fingerprint"], x["component_id"]) for x in simhash.op10_simhash_near_dedup(spark, SF).collect()}
     prints = [fingerprint(d[1]) for d in documents]
@@ -94,6 +108,8 @@ def test_odd_tables(spark):
     got = sorted(((x["doc_id"], x["fp"] == 0, x["component_id"]) for x in simhash.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(3, True, 2), (2, True, 2), (2, True, 2), (None, True, 2), (None, False, None)], key=repr)
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+    clash = simhash.keep_one(df.selectExpr("*", "7 AS row", "8 AS _row"))
+    assert {(x["row"], x["_row"]) for x in clash.collect()} == {(7, 8)}
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted((x["doc_id"] for x in kept.collect()), key=repr) == [2, None]
