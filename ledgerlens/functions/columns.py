@@ -46,3 +46,18 @@ def rounded(c: Column, digits: int, rounding: str = "spark") -> Column:
 def ordered(df: DataFrame, columns: list[str]) -> DataFrame:
     """Those of the columns that df has, in the order given."""
     return df.select(*(c for c in columns if c in df.columns))
+
+
+def missing_from(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key `other` doesn't have, null keys among them: an anti-join."""
+    return df.join(other.select(key), key, "left_anti")
+
+
+def first_rows(df: DataFrame, by: str, most: int = 10) -> DataFrame:
+    """The first rows by a column: a top-k, never a full sort."""
+    return df.orderBy(by).limit(most)
+
+
+def yes_no(flag: Column, unknown: str = "Not Found") -> Column:
+    """Yes or No, and `unknown` for null."""
+    return F.when(flag.isNull(), F.lit(unknown)).when(flag, F.lit("Yes")).otherwise(F.lit("No"))

@@ -54,3 +54,13 @@ def first_year(name: Column) -> Column:
 
 def ticker(symbol: Column) -> Column:
     return F.upper(F.btrim(symbol))
+
+
+def without(name: Column, literal: str) -> Column:
+    """The name without a literal, wherever it stands."""
+    return F.replace(name, F.lit(literal), F.lit(""))
+
+
+def cleaned(name: Column) -> Column:
+    """The name of the cleaned text that is made of a file."""
+    return F.concat(stem(name), F.lit("_cleaned.txt"))

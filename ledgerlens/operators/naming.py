@@ -13,8 +13,8 @@ def numbered(files: DataFrame, name: str = "file_name", order: str = "path", mar
     """files with a destination name that no other row has: of equal names the first by `order` keeps it, others get mark and a number.
 
     Ranks are counted by name and range of `order`, and shifted by the ranges before, so that a name that many files share is no single task.
-    Where such a name is another file's own, the next free number is taken: taken names are found by a join and only the rows that clash
-    are numbered anew, each round on fewer rows.
+    Where such a name is another file's own, the next free number is taken: a number is put up by as many as the taken ones of its name that
+    come before it, which a running maximum over both, in order, tells. Only the rows of such names take part in that.
     """
     c = F.col(name)
     made = lambda n: F.when(n == 0, c).otherwise(F.concat(stem(c), F.lit(mark), n.cast("string"), suffix(c)))
@@ -25,15 +25,21 @@ def numbered(files: DataFrame, name: str = "file_name", order: str = "path", mar
     nth = F.row_number().over(Window.partitionBy(name, "_range").orderBy(order)) - 1
     own = dealt.withColumn("_nth", nth).join(before, F.col(name).eqNullSafe(F.col("_name")) & (F.col("_range") == F.col("_at")))
     own = own.withColumn("_n", F.col("_nth") + F.col("_shift")).drop("_name", "_range", "_at", "_rows", "_shift", "_nth")
+    # numbers that a file's own name has already: the j-th of a name, u, puts up all from u - j + 1 on by j
     taken = files.select(c.alias("_taken")).distinct()
-    done = own.withColumn(into, made(F.col("_n")))
-    # numbers that a file's own name has already: all numbers of that name shift past them
     clash = taken.withColumn("_of", F.regexp_replace("_taken", rf"{_quoted(mark)}\d+(\.[^.]*)?$", "$1")).withColumn("_no", F.regexp_extract("_taken", rf"{_quoted(mark)}(\d{{1,9}})(?:\.[^.]*)?$", 1))
-    used = clash.filter("_no <> '' and not startswith(_no, '0')").groupBy("_of").agg(F.sort_array(F.collect_set(F.col("_no").cast("long"))).alias("_used"))
-    free = done.join(used, F.col(name) == F.col("_of"), "left")
-    shifted = F.aggregate(F.coalesce("_used", F.array().cast("array<long>")), F.col("_n").cast("long"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
-    n = F.when(F.col("_n") == 0, F.lit(0)).otherwise(shifted)
-    return free.withColumn(into, made(n)).drop("_n", "_of", "_used")
+    used = clash.filter("_no <> '' and not startswith(_no, '0')").select("_of", F.col("_no").cast("long").alias("_no")).distinct()
+    used = staged(used.join(own.filter("_n > 0").select(c.alias("_of")).distinct(), "_of", "left_semi"))
+    used = used.withColumn("_up", F.row_number().over(Window.partitionBy("_of").orderBy("_no"))).select("_of", (F.col("_no") - F.col("_up") + 1).alias("_at"), "_up")
+    hit = own.join(used.select("_of").distinct(), F.col(name) == F.col("_of"), "left_semi").filter("_n > 0")
+    free = own.join(used.select("_of").distinct(), F.col(name) == F.col("_of"), "left_anti").unionAll(own.join(used.select("_of").distinct(), F.col(name) == F.col("_of"), "left_semi").filter("_n = 0"))
+    rows = hit.select(c.alias("_of"), F.col("_n").cast("long").alias("_at"), F.lit(0).alias("_up"), F.struct(*own.columns).alias("_row"))
+    both = used.unionByName(rows, allowMissingColumns=True)
+    # at one place the taken number comes before the rows
+    put_up = F.max("_up").over(Window.partitionBy("_of").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    moved = both.withColumn("_by", put_up).filter("_row is not null").select("_row.*", "_by")
+    done = free.withColumn("_by", F.lit(0)).unionByName(moved)
+    return done.withColumn(into, made(F.col("_n") + F.col("_by"))).drop("_n", "_by")
 
 
 def _quoted(mark: str) -> str:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf, f_sf, t_sf2
+from .quantiles import quantiles
 
 MOST_YEARS = 400
 
@@ -90,10 +91,8 @@ def _means(df: DataFrame, columns: Sequence[str], weight: str | None = None) ->
 
 def winsorise(df: DataFrame, columns: Sequence[str], share: float = 0.01, mark: str = "_win") -> DataFrame:
     """df with {c}_win: values beyond the `share` and 1 - `share` quantiles (exact, interpolated) are set to these."""
-    # exact quantiles: a merged count of distinct values, not a sort of all rows in one task
-    cuts = df.agg(*(F.percentile(c, F.array(F.lit(share), F.lit(1 - share))).alias(f"_{c}") for c in columns))
-    own = df.crossJoin(F.broadcast(cuts))  # one row
-    return own.withColumns({c + mark: F.greatest(F.least(F.col(c).cast("double"), F.col(f"_{c}")[1]), F.col(f"_{c}")[0]) for c in columns}).drop(*(f"_{c}" for c in columns))
+    cuts = quantiles(df, columns, (share, 1 - share))
+    return df.withColumns({c + mark: F.greatest(F.least(F.col(c).cast("double"), F.lit(cuts[c][1])), F.lit(cuts[c][0])) for c in columns})
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], weight: str | None = None) -> Fit:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import any_pattern, lines, lines_with, numbered_titles, stripped
+from ..sources.staging import staged
 
 CONTEXT_BEFORE, CONTEXT_AFTER = 10, 19
 
@@ -116,6 +117,7 @@ def typed_pages(pages: DataFrame, bank: Mapping[str, str] | None = None) -> Data
     own = pages.select("doc_id", "page_num", text.alias("text"), name.alias("name"))
     t = F.col("text")
     numbered, section = t.rlike(r"(?i)Principle\s*[1-9][:\s-]"), t.rlike(r"(?i)Section\s*[ABC][:\s-]")
+    # fixed values: what names the two forms, and the words of their tables
     literal = _any_literal(t, ["BRSR", "Business Responsibility and Sustainability", "BRR", "Business Responsibility Report"])
     table = _any_literal(t, ["Parameter", "Disclosure", "Response", "Page Reference"]) & _any_literal(t, [f"Principle {i}" for i in range(1, 10)])
     of_name = F.when(F.col("name").contains("BRSR"), "BRSR").when(F.col("name").contains("BRR"), "BRR")
@@ -150,7 +152,7 @@ def extract(pages: DataFrame, bank: Mapping[str, str] | None = None) -> tuple[Da
 
     pages_extracted counts the section before context is added.
     """
-    typed = typed_pages(pages, bank)
+    typed = staged(typed_pages(pages, bank))  # numbers and flags; read for both results
     block = largest_block(typed.filter("hit"))
     found = report_types(typed).join(block.groupBy("doc_id").agg(F.count("*").alias("pages_extracted")), "doc_id")
     return found, with_neighbours(block, page_counts(pages))

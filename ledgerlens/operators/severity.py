@@ -19,6 +19,7 @@ from ..sources.staging import staged
 from .tone import with_words
 
 ESG_TERMS = sorted({*V.ENVIRONMENTAL_TERMS, *V.SOCIAL_TERMS, *V.GOVERNANCE_TERMS})
+#: The columns of the index.
 COLUMNS = ["company", "file", "esgsi", "normalized_sustainability_score", "normalized_sentiment_score", "sentiment_polarity", "sentiment_subjectivity", "sustainability_score_raw", "label"]
 
 
@@ -55,7 +56,7 @@ def sustainability_scores(docs: DataFrame, words: Column, topics: Iterable[str]
     Documents without a term of the vocabulary score 0.0. keys are taken to be different and not null.
     """
     n_docs = docs.count()
-    counts = term_counts(docs, words, key)
+    counts = staged(term_counts(docs, words, key))  # read for the vocabulary and for the scores
     terms = staged(vocabulary(counts, n_docs, max_share, most).withColumn("hit", on_topic(F.col("term"), topics)))
     terms = terms.crossJoin(F.broadcast(terms.agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("any"))))  # one row
     raw = counts.join(F.broadcast(terms), "term").select(key, (F.col("tf") * F.col("idf")).alias("raw"), (F.col("hit") | ~F.col("any")).alias("in"))

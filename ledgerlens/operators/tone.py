@@ -15,14 +15,17 @@ from ..functions import vocabulary as V
 from ..functions.columns import bound, col, one_of, ratio, rounded
 from ..functions.metrics import tone_ratios
 from ..functions.text import loose_tokens, tone_tokens
+from .quantiles import quantiles
 
+#: The names and the order of the reference tables' columns.
 TONE_COLUMNS = [
     "filename", "total_words", "unique_words", "type_token_ratio", "avg_word_length", "net_tone", "sentiment_score", "polarity_ratio", "esg_count",
     "esg_density", "uncertainty_ratio", "litigiousness_ratio", "constraining_ratio", "modal_strength_ratio", "complexity_ratio", "content_richness",
     "top_20_words", *(f"LM_{c}" for c in V.TONE_CATEGORIES),
 ]
-#: Categories of the short schema and their columns.
+#: Categories of the short schema and their columns.
 SHORT_COLUMNS = {"Positive": "Positive_Words", "Negative": "Negative_Words", "Complexity": "Complexity_Words", "Constraining": "Constraining_Words", "Litigious": "Litigious_Words", "Strong": "Strong_Modal_Words", "Weak": "Weak_Modal_Words", "Uncertainty": "Uncertainty_Words"}
+#: What summaries by company average.
 AVERAGED = ["Net_Tone", "Tone_Ratio", "Positive_Words", "Negative_Words", "Complexity_Words", "Constraining_Words", "Litigious_Words", "Strong_Modal_Words", "Weak_Modal_Words", "Uncertainty_Words", "Total_Words_Clean"]
 
 
@@ -108,10 +111,9 @@ def top_companies(summary: DataFrame, by: str = "Avg_Net_Tone", most: int = 5) -
 def describe(df: DataFrame, columns: Iterable[str], digits: int = 4) -> DataFrame:
     """One row for each column: count, mean, sample deviation, least, exact quartiles, largest. Quartiles are interpolated."""
     names = list(columns)
-    of = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "p25": _quartile(0.25), "p50": _quartile(0.5), "p75": _quartile(0.75), "max": F.max}
-    aggregates = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), *(F.round(f(c), digits).alias(k) for k, f in of.items())) for c in names]
+    cuts = quantiles(df, names, (0.25, 0.5, 0.75))
+    of = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = lambda c: {k: f(c) for k, f in of.items()} | {f"p{p}": F.lit(cuts[c][k]).cast("double") for k, p in enumerate((25, 50, 75))}
+    order = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+    aggregates = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), *(F.round(row(c)[k], digits).alias(k) for k in order)) for c in names]
     return df.select(*(F.col(c).cast("double").alias(c) for c in names)).agg(F.array(*aggregates).alias("_all")).select(F.inline("_all"))
-
-
-def _quartile(q: float):
-    return lambda c: F.percentile(c, F.lit(q))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import company_queries, panel_queries, section_queries, tone_queries
+from . import company_queries, panel_queries, section_queries, source_queries, tone_queries
 
-_ALL = tone_queries.QUERIES | section_queries.QUERIES | company_queries.QUERIES | panel_queries.QUERIES
+_ALL = tone_queries.QUERIES | section_queries.QUERIES | company_queries.QUERIES | panel_queries.QUERIES | source_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

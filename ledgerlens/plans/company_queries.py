@@ -7,14 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..functions.columns import first_rows, missing_from, yes_no
 from ..functions.text import index_tokens, tokens
 from ..operators import attributes, severity, tone
 from ..sources import files, lexicons, sinks
+from ..sources.staging import staged
 from ..streaming import ingest
 from .inputs import ESG_WORDS, POLARITY, quoted, sql_in, sql_list, table
 
 _STOPS = sorted({*V.ENGLISH_STOPWORDS, *V.INDEX_STOPWORDS})
-_MOST = 2000
+#: Fixed value: the terms of the reference's vocabulary.
+_MOST = 10_000
 
 
 def _words():
@@ -25,13 +28,14 @@ def _counts(spark, sf):
     return severity.term_counts(table(spark, sf, "documents"), _words())
 
 
-def _terms(spark, sf, **most):
-    docs = table(spark, sf, "documents")
-    return severity.vocabulary(_counts(spark, sf), docs.count(), **most)
+def _terms(spark, sf):
+    return severity.vocabulary(_counts(spark, sf), table(spark, sf, "documents").count(), most=_MOST)
 
 
-def _weights(spark, sf, **most):
-    return severity.tfidf(_counts(spark, sf), _terms(spark, sf, **most)).select("doc_id", "term", F.round("weight", 9).alias("weight"))
+def _weights(spark, sf):
+    counts = staged(_counts(spark, sf))  # read for the vocabulary, the weights and their lengths
+    terms = severity.vocabulary(counts, table(spark, sf, "documents").count(), most=_MOST)
+    return severity.tfidf(counts, terms).select("doc_id", "term", F.round("weight", 9).alias("weight"))
 
 
 def _index(spark, sf):
@@ -44,16 +48,9 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM e GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM documents)"""
 
 
-def _vocabulary_sql(most: int) -> str:
-    return f"""v AS (SELECT term, df, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS c FROM tf GROUP BY term), n WHERE df >= CASE WHEN n >= 4 THEN 2 ELSE 1 END AND df <= 0.95 * n ORDER BY c DESC, term LIMIT {most})"""
-
-
-def _weights_sql(most: int) -> str:
-    return f"WITH {_T}, {_vocabulary_sql(most)}, r AS (SELECT doc_id, term, tf * idf AS raw FROM tf JOIN v USING (term)) SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 9) AS weight FROM r"
-
-
+_VOCABULARY = f"""v AS (SELECT term, df, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS c FROM tf GROUP BY term), n WHERE df >= CASE WHEN n >= 4 THEN 2 ELSE 1 END AND df <= 0.95 * n ORDER BY c DESC, term LIMIT {_MOST})"""
 _HIT = " OR ".join(f"contains(term, {quoted(w)})" for w in ESG_WORDS)
-_SCORE = f"""WITH {_T}, {_vocabulary_sql(10000)},
+_SCORE = f"""WITH {_T}, {_VOCABULARY},
 h AS (SELECT *, ({_HIT}) AS hit FROM v), a AS (SELECT coalesce(bool_or(hit), false) AS any_hit FROM h),
 r AS (SELECT doc_id, sum(CASE WHEN hit OR NOT any_hit THEN tf * idf ELSE 0 END) / sqrt(sum((tf * idf) ** 2)) AS score FROM tf JOIN h USING (term), a GROUP BY doc_id),
 score AS (SELECT doc_id, coalesce(score, 0.0) AS score FROM documents LEFT JOIN r USING (doc_id))"""
@@ -109,6 +106,12 @@ def _without_stopwords(spark, sf):
     return words.join(F.broadcast(spark.createDataFrame([(w,) for w in _STOPS], "word string")), "word", "left_anti")
 
 
+def _esg_terms(spark, sf):
+    """The terms of the three pillars, and the words of part names as a fourth list that overlaps with nothing or something."""
+    pillars = [spark.createDataFrame([(t,) for t in terms], "word string") for terms in (V.ENVIRONMENTAL_TERMS, V.SOCIAL_TERMS, V.GOVERNANCE_TERMS)]
+    return lexicons.union_of([*pillars, table(spark, sf, "part").select(F.explode(tokens("p_name")).alias("word"))])
+
+
 def _event_windows(spark, sf):
     """events as a stream, counted by windows of six hours until what is there has been read."""
     name = f"event_windows_{uuid.uuid4().hex}"
@@ -120,11 +123,8 @@ def _event_windows(spark, sf):
 
 
 QUERIES = {
-    "vocabulary": (lambda s, d: _terms(s, d, most=_MOST), f"WITH {_T}, {_vocabulary_sql(_MOST)} SELECT * FROM v"),
-    "tfidf": (lambda s, d: _weights(s, d, most=_MOST), _weights_sql(_MOST)),
-    # the reference's whole vocabulary; the two above keep the size that their SQL was given with
-    "vocabulary_full": (_terms, f"WITH {_T}, {_vocabulary_sql(10000)} SELECT * FROM v"),
-    "tfidf_full": (_weights, _weights_sql(10000)),
+    "vocabulary": (_terms, f"WITH {_T}, {_VOCABULARY} SELECT * FROM v"),
+    "tfidf": (_weights, f"WITH {_T}, {_VOCABULARY}, r AS (SELECT doc_id, term, tf * idf AS raw FROM tf JOIN v USING (term)) SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 9) AS weight FROM r"),
     "sustainability_scores": (lambda s, d: severity.sustainability_scores(table(s, d, "documents"), _words(), ESG_WORDS).select("doc_id", F.round("score", 9).alias("score")), f"{_SCORE} SELECT doc_id, round(score, 9) AS score FROM score"),
     "sentiment": (
         lambda s, d: table(s, d, "documents").select("doc_id", *(c.alias(k) for c, k in zip(severity.sentiment(F.coalesce("text", F.lit("")), POLARITY), ("polarity", "subjectivity"), strict=True))),
@@ -186,7 +186,7 @@ QUERIES = {
         "SELECT 'n_nationkey' AS \"column\", least(greatest(max(length(n_nationkey::VARCHAR)), 11) + 2, 50)::INT AS width FROM nation UNION ALL SELECT 'n_name', least(greatest(max(length(repeat(n_name, 4))), 6) + 2, 50)::INT FROM nation UNION ALL SELECT 'n_regionkey', least(greatest(max(length(n_regionkey::VARCHAR)), 11) + 2, 50)::INT FROM nation",
     ),
     "labelled_documents": (
-        lambda s, d: table(s, d, "documents").select("doc_id", "source").join(table(s, d, "labels").select("doc_id", "quality", "toxic"), "doc_id", "left").select("doc_id", "source", F.when(F.col("quality").isNull(), "Not Found").when(F.col("quality") == 1, "Yes").otherwise("No").alias("status")),
+        lambda s, d: table(s, d, "documents").select("doc_id", "source").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left").select("doc_id", "source", yes_no(F.col("quality") == 1).alias("status")),
         "SELECT doc_id, source, CASE WHEN quality IS NULL THEN 'Not Found' WHEN quality = 1 THEN 'Yes' ELSE 'No' END AS status FROM documents LEFT JOIN labels USING (doc_id)",
     ),
     "event_status": (
@@ -194,16 +194,16 @@ QUERIES = {
         "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY ALL",
     ),
     "esg_terms": (
-        lambda s, d: s.createDataFrame([(t,) for t in [*V.ENVIRONMENTAL_TERMS, *V.SOCIAL_TERMS, *V.GOVERNANCE_TERMS]], "term string").distinct(),
-        " UNION ".join(f"SELECT unnest({sql_list(t)}) AS term" for t in (V.ENVIRONMENTAL_TERMS, V.SOCIAL_TERMS, V.GOVERNANCE_TERMS)),
+        _esg_terms,
+        f"SELECT DISTINCT word FROM (SELECT unnest({sql_list([*V.ENVIRONMENTAL_TERMS, *V.SOCIAL_TERMS, *V.GOVERNANCE_TERMS])}) AS word UNION ALL SELECT lower(unnest(string_split_regex(p_name, '\\s+'))) FROM part) WHERE word <> ''",
     ),
     "words_without_stopwords": (_without_stopwords, f"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(coalesce(text, '')), '\\s+')) AS word FROM documents) WHERE word <> '' AND word NOT IN {sql_in(_STOPS)} GROUP BY word"),
     "unlabelled_documents": (
-        lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti"),
+        lambda s, d: missing_from(table(s, d, "documents").select("doc_id"), table(s, d, "labels"), "doc_id"),
         "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     ),
     "first_unlabelled": (
-        lambda s, d: table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id"), "doc_id", "left_anti").orderBy("doc_id").limit(10),
+        lambda s, d: first_rows(missing_from(table(s, d, "documents").select("doc_id"), table(s, d, "labels"), "doc_id"), "doc_id"),
         "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 10",
     ),
     "page_texts": (

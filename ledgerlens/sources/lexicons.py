@@ -83,3 +83,13 @@ def as_sets(lexicon: DataFrame, most: int = 500_000) -> dict[str, list[str]]:
     for r in rows:
         out.setdefault(r["category"], []).append(r["word"])
     return {k: sorted(v) for k, v in out.items()}
+
+
+def union_of(tables: list[DataFrame], column: str = "word") -> DataFrame:
+    """word: the entries of all tables, each once, in lower case."""
+    if not tables:
+        raise ValueError("union_of: no tables")
+    both = tables[0].select(column)
+    for t in tables[1:]:
+        both = both.unionAll(t.select(column))
+    return both.select(F.lower(column).alias("word")).distinct()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
 from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
@@ -65,17 +68,34 @@ def write_texts(docs: DataFrame, path: str, name: str = "file_name", text: str =
 
 
 def copy_files(plan: DataFrame, target: str) -> DataFrame:
-    """plan: path, dest_name. Copies each file to target/dest_name through Hadoop's file systems, on the driver's connection file by file.
+    """plan: path, dest_name. Copies each file to target/dest_name. Returns path, dest_name, target.
 
-    The files are streamed, not collected; only names pass the driver. Returns plan with the target path.
+    Executors copy the files of shared folders (paths without a scheme, or file:), each its partition's; another task may copy a file anew, over what
+    was there. Those of other file systems, which Python doesn't open, are streamed through Hadoop's, on the driver's connection file by file.
     """
     spark = plan.sparkSession
+    own = plan.select("path", "dest_name", F.concat(F.lit(target.rstrip("/") + "/"), F.col("dest_name")).alias("target"))
+    local = F.col("path").rlike("^(file:)?/") & F.col("target").rlike("^(file:)?/")
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def place(p: str) -> str:
+            return "/" + p.removeprefix("file:").lstrip("/")
+
+        for batch in batches:
+            for a, b in zip(batch["path"], batch["target"], strict=True):
+                os.makedirs(os.path.dirname(place(b)), exist_ok=True)
+                part = f"{place(b)}.{uuid.uuid4().hex}"
+                shutil.copyfile(place(a), part)
+                os.replace(part, place(b))  # whole or not at all
+            yield batch
+
+    own.filter(local).mapInPandas(copy, own.schema).write.format("noop").mode("overwrite").save()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path
-    for r in plan.select("path", "dest_name").toLocalIterator():
-        a, b = place(r["path"]), place(f"{target.rstrip('/')}/{r['dest_name']}")
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    for r in own.filter(~local).toLocalIterator():
+        a, b = hadoop(r["path"]), hadoop(r["target"])
         jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
-    return plan.withColumn("target", F.concat(F.lit(target.rstrip("/") + "/"), F.col("dest_name")))
+    return own
 
 
 def page_subset(pages: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -129,3 +129,30 @@ def test_industry_codes_and_fallback(spark):
     assert sorted((r["ticker"], r["status"]) for r in found.collect()) == [("A", "Request Error"), ("B", "Found"), ("TCS", "Company not found"), ("ZZZ", "HTTP Error: 500")]
     both = {r["ticker"]: (r["sector"], r["status"]) for r in attributes.with_fallback(found).collect()}
     assert both == {"B": ("Oil", "Found"), "TCS": ("IT", "Found (Fallback)"), "ZZZ": (None, "Not in fallback database"), "A": (None, "Not in fallback database")}
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from ledgerlens.operators.quantiles import quantiles
+
+    r = np.random.default_rng(1)
+    values = [None, *(float(x) for x in r.normal(size=5000)), *([0.5] * 3000), *(float(x) for x in r.normal(size=2000) * 1e6)]
+    df = spark.createDataFrame([(v, i % 7, None) for i, v in enumerate(values)], "x double, k int, none double").repartition(5)
+    shares = (0, 0.01, 0.25, 0.5, 0.777, 0.99, 1)
+    got = quantiles(df, ["x", "k", "none"], shares)
+    assert np.allclose(got["x"], np.quantile(values[1:], shares), rtol=1e-12)
+    assert got["k"] == list(np.quantile([i % 7 for i in range(len(values))], shares))
+    assert got["none"] == [None] * len(shares)
+    assert quantiles(df.limit(0), ["x"], (0.5,)) == {"x": [None]}
+
+
+def test_taken_numbers_are_passed_over(spark):
+    from ledgerlens.operators import naming
+
+    names = ["a.txt"] * 6 + ["a_1.txt", "a_3.txt", "a_4.txt", "a_10.txt", "b.txt", "b_1.txt", "c", "c"]
+    df = spark.createDataFrame([(f"{i:03}", n) for i, n in enumerate(names)] + [("zz", None)], "path string, file_name string")
+    got = {r["path"]: r["dest_name"] for r in naming.numbered(df).collect()}
+    assert [got[f"{i:03}"] for i in range(6)] == ["a.txt", "a_2.txt", "a_5.txt", "a_6.txt", "a_7.txt", "a_8.txt"]
+    assert [got[f"{i:03}"] for i in range(6, 14)] == ["a_1.txt", "a_3.txt", "a_4.txt", "a_10.txt", "b.txt", "b_1.txt", "c", "c_1"]
+    assert naming.numbered(df).columns == ["path", "file_name", "dest_name"]

@@ -14,12 +14,12 @@ def test_full_vocabulary_has_ten_thousand_terms(spark):
     n = table(spark, SF, "documents").count()
     fit = severity.vocabulary(counts, n, most=1_000_000).count()
     assert fit > 10_000
-    assert catalog.queries()["vocabulary_full"](spark, SF).count() == 10_000
+    assert catalog.queries()["vocabulary"](spark, SF).count() == 10_000
 
 
 def test_full_weights_are_of_length_one_over_all_terms(spark):
-    got = catalog.queries()["tfidf_full"](spark, SF)
-    want = connect(SF).execute(catalog.oracle_sql()["tfidf_full"]).fetchall()
+    got = catalog.queries()["tfidf"](spark, SF)
+    want = connect(SF).execute(catalog.oracle_sql()["tfidf"]).fetchall()
     assert got.count() == len(want) > catalog.queries()["tfidf"](spark, SF).count()
-    terms = {r["term"] for r in catalog.queries()["vocabulary_full"](spark, SF).collect()}
+    terms = {r["term"] for r in catalog.queries()["vocabulary"](spark, SF).collect()}
     assert {r["term"] for r in got.select("term").distinct().collect()} == terms
