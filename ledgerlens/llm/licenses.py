@@ -11,23 +11,26 @@ least shingle in the text with probability 0.8, and the window around it that li
 misses it with probability (1 - 1 / 4) ** 32 = 1e-4, and two windows hold it.
 
 A band can only agree in a window that holds the shingle a template has its band value from. Texts with none of
-these few shingles have no candidates, and are left out before windows are made, which changes no result. All happens within a text's own row:
-there is no shuffle, and templates are a parameter, broadcast with the plan.
+these few shingles have no candidates, and are left out before windows are made, which changes no result (`prefilter` turns that off). All happens within a
+text's own row: there is no shuffle. Templates are a parameter; a table of one row has their marks and band values, and is broadcast, for at most `MOST`
+templates at a time: more are scanned for in several passes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, bound, table
+from .common import SPACE, SPACES, bound, staged, table
 
 SHINGLE, SIMILARITY = 5, 0.8
-WINDOW, STEP, BANDS = 4, 2, 32
+WINDOW, STEP, BANDS, MOST = 4, 2, 32, 1000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Public license notices and the opening grants of public licenses.
+#: Public license notices, the grants of public licenses and their warranty clauses (a text with the whole of a license has both).
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -74,6 +77,31 @@ TEMPLATES = {
         "You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "MIT-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC-warranty": (
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY '
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+        "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-warranty": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS "
+        "OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+        "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of "
+        "this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+        "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source "
+        "versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any "
+        "source distribution."
+    ),
 }
 
 
@@ -98,26 +126,24 @@ def shingle_texts(words: Column) -> Column:
     return _each(words, lambda *w: F.concat_ws(" ", *w))
 
 
-def known_templates(spark: SparkSession, texts: dict[str, str]) -> tuple[DataFrame, list[int], dict[int, list[str]]]:
-    """The templates (license, shingles, n_shingles), the shingles their bands come from, and the templates of each band value."""
+def known_templates(spark: SparkSession, texts: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The templates (license, shingles, n_shingles), and one row: marks, the shingles their bands come from; bands, the values of these; names, the
+    templates of each value, in the same order."""
     rows = spark.createDataFrame(sorted(texts.items()), "license string, body string").withColumn("w", scan_words(F.col("body")))
-    rows = rows.withColumn("h", shingle_hashes(F.col("w"))).filter(F.size("h") > 0)
+    rows = staged(rows.select("license", "w", shingle_hashes(F.col("w")).alias("h")).filter(F.size("h") > 0))
 
     def least(b: int) -> Column:
         return F.array_min(F.transform("h", lambda x: F.struct(F.xxhash64(F.lit(b), x).alias("value"), x.alias("h"))))
 
-    bands = rows.select("license", F.array(*map(least, range(BANDS))).alias("bands")).collect()  # a row for each template
-    of: dict[int, list[str]] = {}
-    for r in bands:
-        for b in r["bands"]:
-            own = of.setdefault(b["value"], [])
-            if r["license"] not in own:
-                own.append(r["license"])
+    each = rows.select("license", F.inline(F.array(*map(least, range(BANDS)))))
+    by = each.groupBy("value").agg(F.sort_array(F.collect_set("license")).alias("names"), F.min("h").alias("h")).withColumn("at", F.struct("value", "names"))
+    # at most MOST * BANDS values
+    one = by.agg(F.collect_set("h").alias("marks"), F.map_from_entries(F.sort_array(F.collect_list("at"))).alias("names")).withColumn("known", F.map_keys("names"))
     known = rows.select("license", F.array_distinct(shingle_texts(F.col("w"))).alias("shingles"))
-    return known.withColumn("n_shingles", F.size("shingles").cast("long")), sorted({b["h"] for r in bands for b in r["bands"]}), of
+    return known.withColumn("n_shingles", F.size("shingles").cast("long")), staged(one)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = SIMILARITY) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: float = SIMILARITY, prefilter: bool = True) -> DataFrame:
     """docs: doc_id, text. A row for each row of docs and license found in it: doc_id, license, n_shared, n_shingles long, containment double,
     first_word, last_word long.
 
@@ -126,21 +152,26 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, similarity: f
     rows are scanned each; null doc_ids stay; other columns are neither read nor returned; an empty table gives an empty result.
     Templates of fewer than five words are never found.
     """
-    spark = docs.sparkSession
-    known, marks, of = known_templates(spark, TEMPLATES if templates is None else templates)
-    if not of:
+    given = sorted((TEMPLATES if templates is None else templates).items())
+    if not given:
         return docs.select("doc_id", *(F.lit(None).cast(t).alias(c) for c, t in (("license", "string"), ("n_shared", "long"), ("n_shingles", "long"), ("containment", "double"), ("first_word", "long"), ("last_word", "long")))).filter("false")
+    passes = [_scan(docs, dict(given[k : k + MOST]), similarity, prefilter) for k in range(0, len(given), MOST)]
+    return reduce(DataFrame.unionAll, passes)
+
+
+def _scan(docs: DataFrame, templates: dict[str, str], similarity: float, prefilter: bool) -> DataFrame:
+    known, one = known_templates(docs.sparkSession, templates)
     own = bound(bound(docs.select("doc_id", "text"), w=scan_words(F.col("text"))).drop("text"), h=shingle_hashes(F.col("w")))
-    own = own.filter(F.arrays_overlap("h", F.array(*map(F.lit, marks))))
+    own = own.crossJoin(F.broadcast(one))  # one row
+    own = own.filter(F.arrays_overlap("h", "marks")) if prefilter else own.filter(F.size("h") > 0)
     windows = F.transform(F.sequence(F.lit(1), F.size("h"), F.lit(STEP)), lambda i: F.slice("h", i, WINDOW))
 
     def band(b: int) -> Column:
         return F.transform("windows", lambda w: F.array_min(F.transform(w, lambda x: F.xxhash64(F.lit(b), x))))
 
-    own = bound(own, windows=windows)
-    own = bound(own, bands=F.array_intersect(F.flatten(F.array(*map(band, range(BANDS)))), F.array(*map(F.lit, of))))
-    names = F.create_map(*(x for k, v in of.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    own = own.select("doc_id", "w", F.explode(F.array_distinct(F.flatten(F.transform("bands", lambda k: F.element_at(names, k))))).alias("license"))
+    own = bound(own.drop("marks"), windows=windows)
+    own = bound(own, bands=F.array_intersect(F.flatten(F.array(*map(band, range(BANDS)))), F.col("known"))).drop("windows", "known", "h")
+    own = own.select("doc_id", "w", F.explode(F.array_distinct(F.flatten(F.transform("bands", lambda k: F.element_at("names", k))))).alias("license"))
     own = bound(own.join(F.broadcast(known), "license"), own=shingle_texts(F.col("w")))
     own = bound(own, n_shared=F.size(F.array_intersect("own", "shingles")).cast("long"))
     own = own.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= similarity)

@@ -24,6 +24,22 @@ def test_templates_are_found_where_they_are(spark):
     assert {k for _, k in got if _ >= len(texts)} == set()
 
 
+def test_texts_without_marks_have_no_candidates(spark, documents):
+    """What the filter before windows leaves out gives no rows; neither do several passes change any."""
+    df = spark.createDataFrame([(d, t) for d, t, *_ in documents], "doc_id long, text string")
+    rows = lambda **how: sorted(map(tuple, licenses.scan(df, **how).collect()))
+    want = rows()
+    assert want
+    assert rows(prefilter=False) == want
+
+
+def test_many_templates_take_several_passes(spark, documents, monkeypatch):
+    df = spark.createDataFrame([(d, t) for d, t, *_ in documents], "doc_id long, text string")
+    want = sorted(map(tuple, licenses.scan(df).collect()))
+    monkeypatch.setattr(licenses, "MOST", 4)
+    assert sorted(map(tuple, licenses.scan(df).collect())) == want
+
+
 def test_part_of_a_template(spark):
     words = licenses.TEMPLATES["MIT"].split()
     k = next(i for i, (name) in enumerate(licenses.TEMPLATES) if name == "MIT")

@@ -74,3 +74,18 @@ def test_weights(spark):
     rows = mixing.mix(df, weight="q", share=0.25).collect()
     assert sum(r["taken"] for r in rows if r["doc_id"] >= 50) == 0
     assert sum(r["taken"] for r in rows) in range(240, 261)
+
+
+def test_clashing_columns_very_long_texts_and_equal_draws(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (50 if i else 200_000), "s" if i % 2 else "t") for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS size", "2 AS _u", "3 AS target", "4 AS copies", "5 AS _row")
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(df).collect()}
+    assert want == {r["doc_id"]: r["copies"] for r in mixing.mix(df.select("doc_id", "text", "source")).collect()}
+    got = mixing.mixed(df)
+    assert got.columns == df.columns
+    assert {tuple(r)[3:] for r in got.collect()} <= {(1, 2, 3, 4, 5)}
+    monkeypatch.setattr(mixing, "draw", lambda *a, **k: F.lit(0.25))  # all ranks of a source are equal: its documents are taken or left together
+    for r in mixing.mix(df).groupBy("source").agg(F.count_distinct("copies").alias("n")).collect():
+        assert r["n"] == 1

@@ -70,6 +70,31 @@ def test_run(spark, stages):
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, stages[5].collect()))
 
 
+def test_odd_documents(spark, tmp_path, documents):
+    """Nulls in every column, empty and repeated rows, and columns named like those that stages make."""
+    long = [t for _, t, *_ in documents if t and len(t) > 600][:30]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(long)]
+    rows += [rows[3], (None, long[0] + " with other words", None, None, None), (100, None, "en", "s", 0), (101, "", None, "s", 0), (102, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "7 AS n_lines", "8 AS row", "9 AS _group", "1 AS n_words", "2 AS copies")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert {(r["n_lines"], r["row"], r["_group"], r["n_words"], r["copies"]) for r in docs.collect()} == {(7, 8, 9, 1, 2)}
+    ids = {r["doc_id"] for r in docs.collect()}
+    assert not ids & {100, 101, 102}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} == ids
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

@@ -65,6 +65,11 @@ def test_table_of_counts(spark):
     assert bpe.token_counts(df.limit(0)).count() == 0
 
 
+def test_a_very_long_text_has_the_librarys_count(counter):
+    text = "Some words, 123 of them; ünd <|endoftext|> more\n\n  " * 20_000
+    assert counter[0].count(text) == len(counter[1].encode(text, add_special_tokens=False).ids)
+
+
 def rows(spark, docs, **how):
     return packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), **how).collect()
 
