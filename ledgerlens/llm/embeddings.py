@@ -238,7 +238,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     dealt = listed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(*where, "id", "block", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"))
     full = dealt.join(classes.select("id", "near"), "id")
-    near = staged(full.repartition(*WHERE).sortWithinPartitions(*WHERE).mapInPandas(_candidates, "label int, dim int, key long, b0 int, b1 int, block int, id long"))
+    near = staged(full.repartition(*WHERE).sortWithinPartitions(*WHERE).mapInPandas(_candidates, f"label {classes.schema['label'].dataType.simpleString()}, dim int, key long, b0 int, b1 int, block int, id long"))
     full = near.join(classes.select("id", "n", "embedding", "near"), "id")
     found = staged(full.repartition(*WHERE).sortWithinPartitions(*WHERE).mapInPandas(lambda it: _verified(it, threshold), "id long, links long, least long"))
     discard(keyed), discard(near)
