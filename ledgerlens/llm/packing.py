@@ -41,8 +41,8 @@ KEPT, LONG = 1_000_000, 64
 LATIN = re.compile("[\x09-\x0d\x20-\x7eÀ-ÿ]*")
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0d\x20a-zß-öø-ÿ0-9]+")
 SPACES = re.compile(r"[\x09-\x0d\x20]+")
-#: Fillings that a search looks at before it leaves the plan unproven.
-NODES = 20_000
+#: Fillings that a search looks at before it leaves the plan unproven, and the deepest steps whose enumerations it holds; others are made anew.
+NODES, LIVE = 20_000, 16
 Run = tuple[int, int]  # a length and how often
 Filling = tuple[Run, ...]  # longest first
 
@@ -304,46 +304,54 @@ class _Search:
         self.used += times
         self.waste += times * (self.capacity - sum(n * k for n, k in filling))
 
-    def branches(self) -> Iterator[tuple[Filling, int]]:
-        """Fillings of the next sequence and how many sequences get them, most first."""
-        longest, room, order = self.order[-1], self.capacity - self.order[-1], self.order.copy()
-        self.left[longest] -= 1
-        rest = dict(self.left) if self.left[longest] else {n: k for n, k in self.left.items() if n != longest}
-        rest.setdefault(longest, 0)
-        self.left[longest] += 1
-        for waste, f in fillings(rest, order, self.open if rest[longest] else self.open ^ 1 << longest, room, self.allowed()):
+    def branches(self, after: tuple[Filling, int] | None = None) -> Iterator[tuple[Filling, int]]:
+        """Fillings of the next sequence and how many sequences get them, most first; those that come after a given one."""
+        longest, room = self.order[-1], self.capacity - self.order[-1]
+        rest, order = dict(self.left), self.order.copy()
+        rest[longest] -= 1
+        open_ = self.open if rest[longest] else self.open ^ 1 << longest
+        for waste, f in fillings(rest, order, open_, room, self.allowed()):
             self.nodes -= 1
             if self.nodes <= 0 or waste > self.allowed():
                 return
             if f is None:
                 continue
             whole = ((longest, 1 + f[0][1]), *f[1:]) if f and f[0][0] == longest else ((longest, 1), *f)
-            most = min(self.left[n] // k for n, k in whole)
+            if after is not None and whole != after[0]:
+                continue
+            most = min(self.left[n] // k for n, k in whole) if after is None else after[1] - 1
+            after = None
             for times in range(min(most, self.allowed() // waste) if waste else most, 0, -1):
                 if self.nodes <= 0 or waste * times > self.allowed():
                     break
                 yield whole, times
 
     def run(self) -> Plan:
+        """Depth first. A step is the branch that led to it, the one it has taken last, and, for the deepest, what comes next."""
         seen: dict[int, int] = {}
-        stack = [(self.branches(), None)] if self.order else []
+        stack: list[list] = [[None, None, self.branches()]] if self.order else []
         searched = not self.order
         while stack and self.nodes > 0:
-            branch = next(stack[-1][0], None)
+            step = stack[-1]
+            if step[2] is None:
+                step[2] = self.branches(step[1])
+            step[1] = branch = next(step[2], None)
             if branch is None:
-                if (done := stack.pop()[1]) is not None:
-                    self.take(done[0], -done[1])
+                if (led := stack.pop()[0]) is not None:
+                    self.take(led[0], -led[1])
                 continue
             self.take(*branch)
             if not self.order:
                 if self.used <= self.most:
-                    self.plan = [own for _, own in stack[1:]] + [branch]
+                    self.plan = [led for led, *_ in stack[1:]] + [branch]
                     self.most, searched = self.used - 1, True
                     if self.used <= self.least:
                         return Plan(self.plan, self.least, True, True)
             elif self.allowed() >= 0 and self.used + 1 <= self.most and seen.get(self.state, self.used + 1) > self.used:
                 seen[self.state] = self.used
-                stack.append((self.branches(), branch))
+                stack.append([branch, None, self.branches()])
+                if len(stack) > LIVE:
+                    stack[-LIVE - 1][2] = None
                 continue
             self.take(branch[0], -branch[1])
         return Plan(self.plan, self.least, self.nodes > 0 or sum(t for _, t in self.plan) == self.least, searched)

@@ -165,6 +165,34 @@ def test_bin_completion_against_all_packings(lengths):
     assert plan.least <= plan.size == fewest(lengths, 20)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=10))
+def test_enumerations_made_anew_lose_no_plan(lengths):
+    lengths.sort(reverse=True)
+    live, packing.LIVE = packing.LIVE, 1
+    try:
+        plan = packing.complete({n: lengths.count(n) for n in lengths}, 20)
+    finally:
+        packing.LIVE = live
+    assert plan.proven
+    assert plan.size == fewest(lengths, 20)
+
+
+def test_a_search_holds_little_at_a_time():
+    import tracemalloc
+
+    counts = {n: 3 + n % 5 for n in range(1, 4097)}
+    tracemalloc.start()
+    try:
+        plan = packing.complete(counts, 4096)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    check_plan(plan, counts, 4096)
+    assert plan.searched
+    assert most < 100 << 20
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=30))
 def test_best_fit_against_documents_one_by_one(lengths):
