@@ -120,3 +120,13 @@ def test_page_subset(spark):
 def test_fixed_values_are_whole():
     assert len(V.SECTION_PATTERNS) == 14
     assert len(V.FINANCIAL_PATTERNS) == 13
+
+
+def test_folder_of_the_suffix_is_one_file(spark, tmp_path):
+    for at in ("a.parquet", "whole.parquet/part-0000.parquet", "whole.parquet/_SUCCESS", "whole.parquet/day=1/part-1", "deep/whole.PARQUET/part-0000.parquet", "deep/b.txt", "c.txt"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_bytes(b"12345")
+    rows = lambda df: sorted((r["path"].rpartition(f"{tmp_path}/")[2], r["file_name"], r["length"]) for r in df.collect())
+    top = [("a.parquet", "a.parquet", 5), ("whole.parquet", "whole.parquet", 10)]
+    assert rows(files.listing(spark, str(tmp_path), "parquet")) == top
+    assert rows(files.listing(spark, str(tmp_path), "parquet", recursive=True, both_cases=True)) == [*top[:1], ("deep/whole.PARQUET", "whole.PARQUET", 5), *top[1:]]
