@@ -1,7 +1,9 @@
 import os
+import random
 
 import pytest
 from oracle import rows_of
+from pyspark.sql import functions as F
 
 from ledgerlens.functions import vocabulary as V
 from ledgerlens.sources import files, lexicons, sinks
@@ -130,3 +132,22 @@ def test_folder_of_the_suffix_is_one_file(spark, tmp_path):
     top = [("a.parquet", "a.parquet", 5), ("whole.parquet", "whole.parquet", 10)]
     assert rows(files.listing(spark, str(tmp_path), "parquet")) == top
     assert rows(files.listing(spark, str(tmp_path), "parquet", recursive=True, both_cases=True)) == [*top[:1], ("deep/whole.PARQUET", "whole.PARQUET", 5), *top[1:]]
+
+
+def test_decoders_are_pythons_and_need_none(spark):
+    """Random bytes, valid, broken and of code pages, are read as Python reads them, by plans without a Python step."""
+    pieces = [b"\x01", b"a", b"b", "�".encode(), "é€😀".encode(), b"\xff", b"\xef\xbf", b"\xed\xa0\x80", b"\xc0\x80", b"\xf0\x9f\x98", b"\xf4\x90\x80\x80", b"\x80", b"\x81", b"\x9d", b"\xe9", b"\xe2\x82"]
+    rnd = random.Random(7)
+    blobs = [bytes(range(256)), b"", None, *(b"".join(rnd.choices(pieces, k=rnd.randint(1, 7))) for _ in range(3000))]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "i int, b binary").select("i", *(files.DECODERS[k](F.col("b")).alias(k) for k in ("ignore", "cascade")))
+
+    def cascade(b):
+        for e in ("utf-8", "cp1252"):
+            try:
+                return b.decode(e)
+            except UnicodeDecodeError:
+                continue
+        return b.decode("latin-1")
+
+    assert rows_of(df.orderBy("i")) == [(i, *(b if b is None else f(b) for f in (lambda x: x.decode("utf-8", "ignore"), cascade))) for i, b in enumerate(blobs)]
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
