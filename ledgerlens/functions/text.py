@@ -6,10 +6,8 @@ know all of Unicode.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,13 +40,8 @@ def strip_punctuation(token: Column, chars: str = PUNCTUATION) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility normal form; there is no such function in the JVM. ASCII passes as it is."""
-
-    @F.pandas_udf("string")
-    def normal(texts: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts], dtype="object")
-
-    return normal(text)
+    """Compatibility normal form; null: empty. Spark has no such function, but brings the library that has, whose Unicode may be newer than Python's."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
 
 
 def valid_token(token: Column, least: int = 3) -> Column:
@@ -57,7 +50,7 @@ def valid_token(token: Column, least: int = 3) -> Column:
 
 
 def tone_tokens(text: Column | str, stops: Iterable[str], normalise: bool = True) -> Column:
-    """Lower-case tokens of three or more letters that are no stopwords. normalise: NFKC of each token first (in Python)."""
+    """Lower-case tokens of three or more letters that are no stopwords. normalise: NFKC of each token first."""
     stop = one_of(stops)
     own = tokens(text)
     # a normal form may hold a blank, which splits no token, but never a new line
