@@ -102,7 +102,8 @@ def index_tokens(text: Column | str, stops: Iterable[str], lemmas: Mapping[str,
     """The cleaning of the severity index: addresses go, a to z only, tokens of three or more letters that are no stopwords, then their lemmas."""
     own = F.lower(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?U)http\S+|www\S+", " "))
     stop = one_of(stops)
-    kept = F.filter(tokens(F.regexp_replace(own, r"[^a-z\s]", " ")), lambda t: (F.length(t) >= 3) & ~stop(t))
+    # what is no letter parts tokens, as white space does: no other pass is needed
+    kept = F.filter(F.split(F.regexp_replace(own, r"[^a-z]+", " "), " "), lambda t: (F.length(t) >= 3) & ~stop(t))
     if not lemmas:
         return kept
     known = F.create_map(*(F.lit(x) for kv in sorted(lemmas.items()) for x in kv))
@@ -126,6 +127,12 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, found).otherwise(F.slice(found, 1, 0))
 
 
+def bigrams(words: Column) -> Column:
+    """ngrams(words, 2) of words that aren't null, in one pass over two slices instead of by places."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def any_pattern(text: Column, patterns: Iterable[str], flags: str = "(?id)") -> Column:
     """Does any of the patterns match anywhere? One alternation, so that the text is searched once."""
     return text.rlike(flags + "|".join(f"(?:{p})" for p in patterns))

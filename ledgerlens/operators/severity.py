@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.columns import bound, ratio, rounded
+from ..functions.columns import bound, one_of, ratio, rounded
 from ..functions.metrics import min_max, z_score
-from ..functions.text import index_tokens, ngrams, tokens
+from ..functions.text import bigrams, index_tokens, tokens
 from ..sources.staging import staged
-from .tone import with_words
 
 ESG_TERMS = sorted({*V.ENVIRONMENTAL_TERMS, *V.SOCIAL_TERMS, *V.GOVERNANCE_TERMS})
 #: The columns of the index.
@@ -25,8 +24,12 @@ COLUMNS = ["company", "file", "esgsi", "normalized_sustainability_score", "norma
 
 def term_counts(docs: DataFrame, words: Column, key: str = "doc_id") -> DataFrame:
     """key, term, tf: uni- and bigrams of each document, one row for each that it holds."""
-    own = bound(docs.select(key, words.alias("_own")), _terms=F.concat(F.col("_own"), ngrams(F.col("_own"), 2))).drop("_own")
-    return with_words(own, F.col("_terms")).select(key, F.inline("words")).select(key, F.col("word").alias("term"), F.col("n").alias("tf"))
+    # sorted as plain strings, without places: runs of equal ones are counted
+    own = bound(docs.select(key, words.alias("_own")), _sorted=F.sort_array(F.concat(F.col("_own"), bigrams(F.col("_own"))))).drop("_own")
+    term = lambda i: F.get(F.col("_sorted"), i)
+    own = bound(own, _starts=F.filter(F.transform("_sorted", lambda t, i: F.when((i == 0) | (t != term(i - 1)), i)), lambda i: i.isNotNull()))
+    end = lambda k: F.coalesce(F.get(F.col("_starts"), k + 1), F.size("_sorted"))
+    return own.select(key, F.inline(F.transform("_starts", lambda i, k: F.struct(term(i).alias("term"), (end(k) - i).cast("long").alias("tf")))))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, max_share: float = 0.95, most: int = 10_000) -> DataFrame:
@@ -69,7 +72,8 @@ def sentiment(text: Column, lexicon: Iterable[tuple[str, float, float]], roundin
     """Polarity and subjectivity: means over the tokens that the lexicon (word, polarity, subjectivity) has; 0.0 without any."""
     rows = sorted(lexicon)
     both = F.create_map(*(x for w, p, s in rows for x in (F.lit(w), F.struct(F.lit(float(p)).alias("p"), F.lit(float(s)).alias("s")))))
-    found = F.filter(F.transform(tokens(F.lower(text)), lambda t: F.element_at(both, t)), lambda x: x.isNotNull())
+    # most tokens are in no lexicon, and are left out before one is looked up
+    found = F.transform(F.filter(tokens(F.lower(text)), one_of(w for w, *_ in rows)), lambda t: F.element_at(both, t))
     zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
     sums = F.aggregate(found, zero, lambda a, x: F.struct((a["p"] + x["p"]).alias("p"), (a["s"] + x["s"]).alias("s"), (a["n"] + 1).alias("n")))
     return rounded(ratio(sums["p"], sums["n"]), 6, rounding), rounded(ratio(sums["s"], sums["n"]), 6, rounding)

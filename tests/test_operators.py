@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from oracle import rows_of
@@ -156,3 +157,16 @@ def test_taken_numbers_are_passed_over(spark):
     assert [got[f"{i:03}"] for i in range(6)] == ["a.txt", "a_2.txt", "a_5.txt", "a_6.txt", "a_7.txt", "a_8.txt"]
     assert [got[f"{i:03}"] for i in range(6, 14)] == ["a_1.txt", "a_3.txt", "a_4.txt", "a_10.txt", "b.txt", "b_1.txt", "c", "c_1"]
     assert naming.numbered(df).columns == ["path", "file_name", "dest_name"]
+
+
+def test_term_counts_are_those_of_plain_python(spark):
+    """Terms of none, one, repeated and nested words; terms are sorted as plain strings, without places."""
+    texts = ["", "one", "aaa aaa aaa", "bbb aaa bbb aaa", "aaa\tbbb\x0bccc-ddd É9eee\x1cfff http://x.y ggg", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = severity.term_counts(docs, index_tokens("text", ["ggg"]))
+    want = []
+    for i, t in enumerate(texts):
+        own = [w for w in re.split("[^a-z]+", re.sub(r"http\S+|www\S+", " ", t or "").lower()) if len(w) >= 3 and w != "ggg"]
+        want += [(i, w, n) for w, n in Counter([*own, *(" ".join(p) for p in zip(own, own[1:]))]).items()]
+    assert sorted(rows_of(counts)) == sorted(want)
+    assert " at, " not in counts._jdf.queryExecution().analyzed().toString() and " AS at" not in counts._jdf.queryExecution().analyzed().toString()
